@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import records, simhash, token_counts
+from . import line_dedup, merkle, records, simhash, token_counts
 from ._common import table
 
 #: Where the vocabulary files lie, unless SKETCHGRAPH_TOKENIZERS names another folder.
@@ -36,10 +36,42 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs, dropped_col="n_dropped")
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write_records(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
     return records.read_records(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op5_simhash_near_dedup, op8_binary_records)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op8_binary_records, op9_document_fingerprints)}
+
+#: The digits, white space and limits are those of line_dedup; a hash there is the string itself here.
+LINE_DEDUP_SQL = """
+with docs as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+lines as (select doc_id, text, unnest(lines) as line, unnest(range(len(lines))) as line_no from docs),
+tokens as (
+    select doc_id, text, line_no, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda t: t <> ''), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as t
+    from lines),
+keyed as (
+    select doc_id, text, line_no, unnest(case
+        when len(t) < 5 then []
+        when len(t) // 2 < 10 then [concat('all ', array_to_string(t, ' '))]
+        else [concat('first ', len(t), ' ', array_to_string(t[1:3], ' '), ' ', array_to_string(t[1:len(t) // 2], ' ')),
+              concat('last ', len(t), ' ', array_to_string(t[1:3], ' '), ' ', array_to_string(t[len(t) // 2 + 1:], ' '))] end) as key
+    from tokens),
+recurring as (select key, min(doc_id) as keeper from keyed group by key having min(doc_id) <> max(doc_id)),
+drops as (select distinct doc_id, line_no from keyed join recurring using (key) where doc_id <> keeper),
+dropped as (select doc_id, list(line_no) as gone from drops group by doc_id)
+select doc_id,
+    case when gone is null then text else array_to_string(list_filter(lines, lambda l, i: not list_contains(gone, i - 1)), chr(10)) end as text,
+    coalesce(len(gone), 0)::bigint as n_dropped
+from docs left join dropped using (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL}
