@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, merkle, records, simhash, token_counts
+from . import langid, line_dedup, merkle, quality, records, simhash, token_counts
 from ._common import table
 
 #: Where the vocabulary files lie, unless SKETCHGRAPH_TOKENIZERS names another folder.
@@ -27,6 +27,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(quality.remainder("doc_id", 5) == 0, F.lit(False))
+    scores = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -41,6 +47,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(docs, dropped_col="n_dropped")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(quality.remainder("doc_id", 4) == 2, F.lit(False))
+    model = langid.learn(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write_records(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
     return records.read_records(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -50,7 +63,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op8_binary_records, op9_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op7_language_id, op8_binary_records, op9_document_fingerprints)}
 
 #: The digits, white space and limits are those of line_dedup; a hash there is the string itself here.
 LINE_DEDUP_SQL = """
