@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, merkle, quality, records, sentencepiece_codec, simhash, token_counts
+from . import decontaminate, langid, line_dedup, merkle, quality, records, sentencepiece_codec, simhash, token_counts
 from ._common import table
 
 #: Where the vocabulary files lie, unless SKETCHGRAPH_TOKENIZERS names another folder.
@@ -39,6 +39,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = decontaminate.flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return flags.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", F.round("coverage", 6).alias("coverage"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -69,7 +74,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op7_language_id, op8_binary_records, op9_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_decontamination, op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op7_language_id, op8_binary_records, op9_document_fingerprints)}
 
 #: The digits, white space and limits are those of line_dedup; a hash there is the string itself here.
 LINE_DEDUP_SQL = """
