@@ -5,8 +5,8 @@ A record, all numbers little-endian, is
 
     length of the payload (8 bytes), masked checksum of these 8 bytes (4), payload, masked checksum of it (4)
 
-and its payload is a flag byte (1: the id is not null), the id (8 bytes, signed) and the token ids (4 bytes each,
-unsigned). A checksum is a CRC-32, rotated right by 15 bits plus 0xA282EAD8, so that checksums of data that holds
+and its payload is the bytes of a token id (2 if all in the record are below 65,536, else 4), a flag byte (1: the id is
+not null), the id (8 bytes, signed) and the token ids (unsigned). A checksum is a CRC-32, rotated right by 15 bits plus 0xA282EAD8, so that checksums of data that holds
 checksums stay apart. Beside each shard lies an index: the offset of each record (8 bytes each), for shuffled reads.
 
 A task writes files under names of its own, and the manifest lists those of the attempt that Spark took; a
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from ._common import map_arrow, shared_path, slices, texts_of, written
 from .token_counts import word_starts
+from .word_table import WordMemo
 
 MANIFEST = "shard int, path string, n_records long, n_ids long"
-HEAD, CRC, KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
-#: Words whose ids a worker keeps.
-MAX_WORDS = 400_000
+HEAD, CRC, KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
+#: Words whose ids a worker keeps, with about 60 bytes each.
+MAX_WORDS = 2_000_000
 
 
 def masked(data: bytes) -> int:
@@ -46,13 +47,14 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(key: int | None, ids: bytes) -> bytes:
-    payload = KEY.pack(key is not None, key or 0) + ids
+def frame(key: int | None, ids: np.ndarray) -> bytes:
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    payload = KEY.pack(width, key is not None, key or 0) + ids.astype(f"<u{width}").tobytes()
     size = HEAD.pack(len(payload))
     return b"".join((size, CRC.pack(masked(size)), payload, CRC.pack(masked(payload))))
 
 
-def frames(stream) -> Iterator[tuple[int | None, bytes]]:
+def frames(stream) -> Iterator[tuple[int | None, np.ndarray]]:
     """The records of an open shard; ValueError if a checksum or a length is wrong."""
     while head := stream.read(12):
         if len(head) < 12 or CRC.unpack_from(head, 8)[0] != masked(head[:8]):
@@ -61,11 +63,11 @@ def frames(stream) -> Iterator[tuple[int | None, bytes]]:
         body = stream.read(size + 4)
         if len(body) < size + 4 or CRC.unpack_from(body, size)[0] != masked(body[:size]):
             raise ValueError("a record is damaged")
-        there, key = KEY.unpack_from(body)
-        yield key if there else None, body[KEY.size : size]
+        width, there, key = KEY.unpack_from(body)
+        yield key if there else None, np.frombuffer(body[KEY.size : size], f"<u{width}")
 
 
-def record_at(path: str, index: int) -> tuple[int | None, bytes]:
+def record_at(path: str, index: int) -> tuple[int | None, np.ndarray]:
     """One record of a shard by its number, through the index."""
     store, name = fs.FileSystem.from_uri(path)
     with store.open_input_file(f"{name}.idx") as file:
@@ -88,50 +90,42 @@ class Encoder:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         if (t := type(self.library.pre_tokenizer).__name__) != "ByteLevel" or self.library.normalizer:
             raise ValueError(f"word by word encoding needs a byte-level tokenizer, not {t}")
-        self.forget()
+        self.memo = WordMemo(MAX_WORDS)
 
-    def forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
-        """Little-endian 4-byte ids of each text, with the end id after them."""
-        if len(self.places) > MAX_WORDS:
-            self.forget()
-        parts, kinds = [], []
+    def encode(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
+        """Ids of each text (uint32), with the end id after them."""
+        parts: list[list[tuple[str, int | None]]] = []
         for text in texts:
-            pieces = [(text, None)]
+            pieces: list[tuple[str, int | None]] = [(text, None)]
             for s, i in self.special.items():
-                pieces = [y for p, k in pieces for j, x in enumerate(p.split(s) if k is None else [p]) for y in ([(s, i)] * (j > 0) + [(x, k)])]
-            parts += [x for x, _ in pieces]
-            kinds.append(pieces)
-        flat_parts = [(x, k) for pieces in kinds for x, k in pieces]
-        plain = [x if k is None else "" for x, k in flat_parts]
+                if s in text:
+                    pieces = [y for p, k in pieces for j, x in enumerate(p.split(s) if k is None else [p]) for y in ([(s, i)] * (j > 0) + [(x, k)])]
+            parts.append(pieces)
+        plain = [x if k is None else "" for pieces in parts for x, k in pieces]
         sizes = np.fromiter(map(len, plain), np.int64, len(plain))
         starts = np.cumsum(sizes) - sizes
         data = "".join(plain)
-        edges = np.flatnonzero(word_starts(np.frombuffer(data.encode("utf-32-le"), np.uint32), starts[sizes > 0]))
-        cuts = edges.tolist()
-        words = [data[a:b] for a, b in zip(cuts, cuts[1:] + [len(data)])]
-        new = [w for w in dict.fromkeys(words) if w not in self.places]
-        if new:
-            got = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in got])])
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        n = self.ends[at + 1] - self.ends[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.ends[at] - total[:-1], n) + np.arange(total[-1])].astype("<u4").tobytes()
-        place = total[np.searchsorted(edges, np.append(starts, len(data)))].tolist()
-        end, out, i = b"" if end_id is None else struct.pack("<I", end_id), [], 0
-        for pieces in kinds:
+        points = np.frombuffer(data.encode("utf-32-le"), np.uint32)
+        begins = np.flatnonzero(word_starts(points, starts[sizes > 0]))
+        ends = np.append(begins[1:], len(points)) if len(begins) else begins
+
+        def words(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            got = self.library.encode_batch([data[a:b] for a, b in zip(starts.tolist(), stops.tolist())], add_special_tokens=False)
+            got = [e.ids for e in got]
+            return np.fromiter((i for ids in got for i in ids), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
+        out, total = self.memo.ids(points, begins, ends, words)
+        out = out.astype(np.uint32)
+        place = total[np.searchsorted(begins, np.append(starts, len(points)))].tolist()
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        rows, i = [], 0
+        for pieces in parts:
             row = []
             for _, k in pieces:
-                row.append(ids[4 * place[i] : 4 * place[i + 1]] if k is None else struct.pack("<I", k))
+                row.append(out[place[i] : place[i + 1]] if k is None else np.array([k], np.uint32))
                 i += 1
-            out.append(b"".join((*row, end)))
-        return out
+            rows.append(np.concatenate([*row, end]))
+        return rows
 
 
 @lru_cache(2)
@@ -155,7 +149,7 @@ def write_records(df: DataFrame, tokenizer_path: str, end_id: int | None = 0, id
                 for key, ids in zip(part.column("id").to_pylist(), encoder(tokenizer_path).encode(texts_of(part), end_id)):
                     offsets.append(at)
                     at += out.write(frame(key, ids))
-                    n_ids += len(ids) // 4
+                    n_ids += len(ids)
         if out is not None:
             out.close()
             with store.open_output_stream(f"{folder}/{name}.idx", compression=None) as index:
@@ -181,9 +175,9 @@ def read_records(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 some, size = [], 0
                 with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as stream:
                     for key, ids in frames(stream):
-                        some.append((key, start, ids))
-                        start += len(ids) // 4
-                        size += len(ids)
+                        some.append((key, start, ids.astype("<u4").tobytes()))
+                        start += len(ids)
+                        size += 4 * len(ids)
                         if size > 4 << 20:
                             yield rows(some)
                             some, size = [], 0
