@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, merkle, quality, records, sentencepiece_codec, simhash, token_counts
+from . import decontaminate, html_extract, langid, line_dedup, merkle, quality, records, sentencepiece_codec, simhash, token_counts
 from ._common import table
 
 #: Where the vocabulary files lie, unless SKETCHGRAPH_TOKENIZERS names another folder.
@@ -74,7 +74,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_decontamination, op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op7_language_id, op8_binary_records, op9_document_fingerprints)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, keep=("url",)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_decontamination, op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op7_language_id, op8_binary_records, op9_document_fingerprints, op10_html_extraction)}
 
 #: The digits, white space and limits are those of line_dedup; a hash there is the string itself here.
 LINE_DEDUP_SQL = """
