@@ -32,6 +32,7 @@ SEED, SHINGLE, BITS = 42, 3, 64
 DISTANCE, SEGMENTS = 2, 5
 #: Fingerprints of a key up to which its pairs are compared; above, they meet at their neighbours. Either way is exact.
 FEW = 32
+SALTS = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PIECE = 1 << 14
 
@@ -123,6 +124,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         of = prints.select("fp", F.col("least").alias("component_id"))
     else:
         member = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        # A component may hold most of the linked fingerprints, so its rows are dealt over SALTS keys.
+        member = member.withColumn("salt", F.when(F.col("root").isNotNull(), F.pmod(F.xxhash64("fp"), F.lit(SALTS))))
         least = member.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-        of = member.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        of = member.join(least, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return docs.join(of, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
