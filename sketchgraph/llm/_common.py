@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -34,6 +34,8 @@ PRIOR = 0.5
 #: Likelihood that a further language must bring: for each n-gram of the document, and by the logarithm of their number.
 PENALTY, LOG_PENALTY = 0.03, 4.0
 ROUNDS, SLICE = 12, 1 << 20
+#: Score under which `known_only` rejects a document: no language explains it better than chance between several.
+LEAST = 0.2
 
 
 @lru_cache(1)
@@ -154,18 +156,28 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list
     return names, scores, shares
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred, score and shares (a map of the languages found) of each row. The model, of bounded size, is broadcast."""
+def identify(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """df with lang_pred, score and shares (a map of the languages found), their names after prefix. The model, of bounded size, is broadcast."""
+    names = [prefix + c for c in ("lang_pred", "score", "shares")]
+    if clash := {*names} & {*df.columns}:
+        raise ValueError(f"there are columns {sorted(clash)} already")
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=SLICE):
+            for part in slices(batch, text_col, SLICE):
                 for i in range(0, part.num_rows, 512):
                     few = part.slice(i, 512)
-                    names, scores, shares = predict(shared.value, texts_of(few))
-                    yield pa.RecordBatch.from_arrays([few.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array([[*s.items()] for s in shares], pa.map_(pa.string(), pa.float64()))], ["id", "lang_pred", "score", "shares"])
+                    langs, scores, shares = predict(shared.value, texts_of(few, text_col))
+                    found = pa.array([[*s.items()] for s in shares], pa.map_(pa.string(), pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*few.columns, pa.array(langs, pa.string()), pa.array(scores), found], [*few.schema.names, *names])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return map_arrow(df, run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>")
+
 
-    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, shares map<string, double>").withColumnRenamed("id", id_col)
+def known_only(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """df without the rows of unknown language or of a score below least."""
+    rows = identify(df, model, text_col, "__ll_")
+    return rows.where((F.col("__ll_lang_pred") != UNKNOWN) & (F.col("__ll_score") >= least)).select(*df.columns)

@@ -62,7 +62,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(quality.remainder("doc_id", 4) == 2, F.lit(False))
     model = langid.learn(docs.where(~held_out))
-    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:

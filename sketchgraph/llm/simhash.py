@@ -118,15 +118,33 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fp (bigint), fingerprint (16 hex digits) and component_id (the smallest id reachable over links) of each row."""
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
-    prints = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "prints")
+    of = _of_components(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
+    return docs.join(of, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component: the one of the smallest id (a null only if there is no other), then of the smallest hash of its text."""
+    row = F.struct(F.col("id").isNull().alias("null"), "id", "row")
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("row"))
+    docs = written(fingerprints(docs.select(F.struct("id", "row").alias("id"), "text"), "id", "text").select("id.*", "fp"), "fingerprints")
+    best = _of_components(docs.groupBy("fp").agg(F.min(row).alias("least"))).select("least").distinct()
+    best = best.select(F.col("least.id").alias("__best_id"), F.col("least.row").alias("__best_row"))
+    out = df.join(best, df[id_col].eqNullSafe(F.col("__best_id")) & (F.xxhash64(df[text_col]) == F.col("__best_row")), "left_semi")
+    again = docs.groupBy("id", "row").count().where("count > 1").join(best, F.col("id").eqNullSafe(F.col("__best_id")) & (F.col("row") == F.col("__best_row")), "left_semi")
+    if not again.isEmpty():  # rows that are equal in id and text: one of them
+        out = out.withColumn("__row", F.xxhash64(text_col)).dropDuplicates([id_col, "__row"]).drop("__row")
+    return out
+
+
+def _of_components(prints: DataFrame) -> DataFrame:
+    """fp and the least of its component, from fp and the least of its rows."""
+    prints = written(prints, "prints")
     roots = components(links(prints))
     if roots is None:
-        of = prints.select("fp", F.col("least").alias("component_id"))
-    else:
-        member = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        # A component may hold most of the linked fingerprints, so its rows are dealt over SALTS keys.
-        member = member.withColumn("salt", F.when(F.col("root").isNotNull(), F.pmod(F.xxhash64("fp"), F.lit(SALTS))))
-        least = member.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        of = member.join(least, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(of, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return prints
+    member = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    # A component may hold most of the linked fingerprints, so its rows are dealt over SALTS keys.
+    member = member.withColumn("salt", F.when(F.col("root").isNotNull(), F.pmod(F.xxhash64("fp"), F.lit(SALTS))))
+    least = member.where("root is not null").groupBy("root").agg(F.min("least").alias("least_of_all"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return member.join(least, ["root", "salt"], "left").select("fp", F.coalesce("least_of_all", "least").alias("least"))
