@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import shared_path, written  # noqa: F401
 from ..shipping import ship
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='sketchgraph-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sketchgraph/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and not again when an executor is lost."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ import numpy as np
 
 #: Rank of tokens that no merge makes.
 BASE = -1
-FILTER_BITS = 26
+FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -34,9 +34,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(PIECES)
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    docs = table(spark, sf_dir, "documents")
+    coded = sentencepiece_codec.encode(docs, tokenizer(PIECES), check_col="round_trip", columns=["doc_id"])
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ an empty table gives an empty result; a text of any length is encoded whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +28,7 @@ from .word_table import WordMemo
 
 SPACE = "▁"
 #: Words a worker remembers, and characters that it indexes at once.
-MAX_WORDS, INDEX_CHARS = 1_000_000, 1 << 18
+MAX_WORDS, INDEX_CHARS = 1_500_000, 1 << 18
 
 
 def merged(text: str, pieces: dict[str, int], score: list[float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -245,19 +245,31 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with the ids of text_col (array of int) in ids_col. The model, bounded by its vocabulary, is broadcast."""
+def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """df's columns (all, or those named) with the ids of text_col (array of int) in ids_col.
+
+    check_col, if named, says whether decoding the ids gives the text back (null counts as empty). The model, bounded by
+    its vocabulary, is broadcast.
+    """
     ship(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(piece_model(model_path))
+    columns = df.columns if columns is None else [*columns]
+    rows = df.select(*columns, df[text_col].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            for part in slices(batch, text_col):
-                ids, starts = codec.encode(texts_of(part, text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], [*part.schema.names, ids_col])
+            for part in slices(batch, "__text"):
+                texts = texts_of(part, "__text")
+                ids, starts = codec.encode(texts)
+                out = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))]
+                if check_col:
+                    out.append(pa.array([codec.decode(ids[a:b].tolist()) == t for a, b, t in zip(starts[:-1].tolist(), starts[1:].tolist(), texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    return _mapped(df, run, ids_col, "array<int>")
+    new = {ids_col: "array<int>"} | ({check_col: "boolean"} if check_col else {})
+    names = [*columns, *new]
+    return _mapped(rows, columns, run, new)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -273,11 +285,11 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
                 texts = [codec.decode(x or []) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
 
-    return _mapped(df, run, text_col, "string")
+    return _mapped(df, df.columns, run, {text_col: "string"})
 
 
-def _mapped(df: DataFrame, run, name: str, kind: str) -> DataFrame:
-    if name in df.columns:
-        raise ValueError(f"there is a column {name} already")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return map_arrow(df, run, f"{fields}, `{name}` {kind}")
+def _mapped(df: DataFrame, columns: Sequence[str], run, new: dict[str, str]) -> DataFrame:
+    if clash := {*new} & {*columns}:
+        raise ValueError(f"there are columns {sorted(clash)} already")
+    kinds = {c: df.schema[c].dataType.simpleString() for c in columns} | new
+    return map_arrow(df, run, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))
