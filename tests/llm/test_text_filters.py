@@ -1,0 +1,303 @@
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sketchgraph.llm import decontaminate, gbdt, html_extract, langid, line_dedup, merkle, quality, queries
+
+# Line dedup
+
+
+def brute_templates(line):
+    tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\r\f\v]+", line) if t]
+    n, half = len(tokens), len(tokens) // 2
+    if n < line_dedup.MIN_TOKENS:
+        return []
+    if half < line_dedup.MIN_CONSTANT:
+        return [(n, *tokens)]
+    lead = tuple(tokens[: line_dedup.LEADING])
+    return [(n, lead, 1, *tokens[:half]), (n, lead, 2, *tokens[half:])]
+
+
+def brute_dedup(docs):
+    at = {}
+    for d, text in docs:
+        for line in (text or "").split("\n"):
+            for t in brute_templates(line):
+                at.setdefault(t, set()).add(d)
+    drop = lambda d, line: any(len(at[t]) > 1 and min(at[t]) != d for t in brute_templates(line))
+    return {d: None if text is None else "\n".join(x for x in text.split("\n") if not drop(d, x)) for d, text in docs}
+
+
+def test_line_dedup(spark):
+    r = random.Random(1)
+    words = [f"w{c}" for c in "abcdefghijkl"]
+    passage = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shared = [passage(n) for n in (3, 5, 8, 12, 60)] + ["Page 3 of 10 in all", "", "  "]
+    docs = []
+    for i in range(60):
+        lines = [passage(r.randint(1, 40)) for _ in range(r.randint(0, 6))] + r.sample(shared, r.randint(0, 4))
+        r.shuffle(lines)
+        docs.append((i, "\n".join(lines)))
+    docs += [(100, docs[3][1]), (101, docs[3][1]), (102, "Page 7 of 12 in all\nmine alone it is said"), (103, " ".join(["changed"] + shared[4].split()[1:])), (104, None), (105, ""), (106, "\n\n")]
+    long = shared[4].split()
+    docs.append((107, " ".join(long[:55] + ["other"] * 5)))  # the first half is that of the passage
+    got = {x["doc_id"]: x["text"] for x in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_dedup(docs)
+    assert got == want
+    assert got[107] == "" and want[100] == ""
+    assert sum(shared[4] in (t or "") for t in got.values()) == 1
+
+
+def test_line_dedup_edge_cases(spark):
+    schema = "doc_id long, text string, __drop string, `__text` int, n_chars long"
+    line = "these five words and more\nown line"
+    df = spark.createDataFrame([(1, line, "d", 5, 1), (1, line, "d", 5, 1), (None, line, "n", 6, 1), (2, "x\n" + line, "e", 7, 1)], schema)
+    out = line_dedup.drop_recurring_lines(df, dropped_col="n")
+    assert out.columns == [*df.columns, "n"]
+    got = sorted([(r["doc_id"], r["text"], r["__drop"], r["__text"], r["n"]) for r in out.collect()], key=str)
+    assert got == sorted([(1, "own line", "d", 5, 1), (1, "own line", "d", 5, 1), (None, line, "n", 6, 0), (2, "x\nown line", "e", 7, 1)], key=str)
+    assert line_dedup.drop_recurring_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_line_dedup_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(map(tuple, con.sql(queries.ORACLE_SQL["op6_line_dedup"]).select("doc_id, text, n_dropped").fetchall()))
+    assert sorted(map(tuple, queries.QUERIES["op6_line_dedup"](spark, sf).select("doc_id", "text", "n_dropped").collect())) == want
+
+
+# Fingerprints
+
+
+def brute_leaves(text):
+    leaves = []
+    for section in re.split(r"(?<=\n\n)", text):
+        for paragraph in re.split(r"(?<=\n)", section):
+            start = 0
+            for m in re.finditer(r"\s", paragraph):
+                before = paragraph[m.start() - 1] if m.start() else ""
+                if before and (before in "ds" or __import__("unicodedata").category(before).startswith("P")):
+                    leaves.append(paragraph[start : m.end()])
+                    start = m.end()
+            leaves.append(paragraph[start:])
+    return {x for x in leaves if x}
+
+
+def test_edit_report(spark):
+    r = random.Random(2)
+    texts = {i: " ".join(r.choice(["word", "ends.", "Name,", "é", "\n", "\n\n", "kids", "🙂"]) for _ in range(r.randint(0, 60))) for i in r.sample(range(1000), 80)}
+    texts[2000], texts[2001], texts[2002], texts[-5] = "", "", texts[min(texts)], "a" * 5001
+    rows = [*texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x for x in merkle.edit_report(df).collect()}
+    order = sorted(texts, reverse=True)
+    alike = lambda a, b: 1.0 if not a | b else 2 * len(a & b) / (len(a) + len(b))
+    for d, after in zip(order, order[1:] + order[:1]):
+        t, h = texts[d], len(texts[d]) // 2
+        edited = t[: len(t) - h] + texts[after][:h]
+        assert got[d]["n_chars"] == len(t) and got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[d]["near_edited"] == pytest.approx(alike(brute_leaves(t), brute_leaves(edited)))
+        assert got[d]["near_next"] == pytest.approx(alike(brute_leaves(t), brute_leaves(texts[after])))
+        assert (got[d]["fingerprint"] == got[d]["edited_fingerprint"]) == (t == edited)
+    for a in texts:
+        for b in texts:
+            assert (got[a]["fingerprint"] == got[b]["fingerprint"]) == (texts[a] == texts[b])
+
+
+def test_edit_report_edge_cases(spark):
+    one = spark.createDataFrame([(7, "abcd", 1)], "doc_id long, text string, fingerprint int")
+    assert merkle.edit_report(one).head()["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
+    odd = spark.createDataFrame([(None, "null"), (1, None), (1, None), (1, "tie"), (2, "x")], "doc_id long, text string")
+    got = merkle.edit_report(odd).collect()
+    assert len(got) == 5 and all(0 <= r["near_next"] <= 1 for r in got)
+    assert merkle.edit_report(odd.where("false")).count() == 0
+
+
+def test_differing_paragraphs(spark):
+    df = spark.createDataFrame([("one\ntwo\n\nthree\nfour", "one\n2\n\nthree\nfour\nfive")], "a string, b string")
+    trees = merkle.fingerprints(df, {"a": "x", "b": "y"})
+    got = trees.select(merkle.differing_paragraphs(F.col("x"), F.col("y")), merkle.differing_paragraphs(F.col("y"), F.col("x")), merkle.differing_paragraphs(F.col("x"), F.col("x"))).head()
+    assert [tuple(x) for x in got[0]] == [(0, 1), (1, 1)] and [tuple(x) for x in got[1]] == [(0, 1), (1, 1), (1, 2)] and got[2] == []
+
+
+# Decontamination
+
+
+def test_decontamination(spark):
+    item = "Anna buys 3 apples for 2 dollars each. How much does Anna pay for 3 apples in the shop?"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "so what"), (5, item)], "item_id long, text string")
+    docs = [
+        (1, "We know this. Bertha buys 17 apples for 5 euros each. How much does Bertha pay for 17 apples in the shop? Yes", [1, 5]),
+        (2, "We know this. Bertha buys 17 apples for 5 euros each. How much does Carl pay for 19 apples in the shop? Yes", []),
+        (3, None, []), (4, "", []), (5, "So, WHAT?", [4]), (6, "so what now", []),
+        (7, "blah " + item, [1, 5]), (7, "blah " + item, [1, 5]), (None, item.upper().lower(), [1, 5]), (8, "word " * 30_000 + item, [1, 5]),
+        (9, item.replace("apples", "pears").replace("buys", "sells").replace("pay", "get"), []),
+        (10, "Bertha buys 17 apples for 5 euros each. How much does Bertha pay for 17 apples in the shop? Carla buys 1 apples for 9 euros each. How much does Carla pay for 1 apples in the shop?", [1, 5]),
+    ]
+    df = spark.createDataFrame([(i, t, "x", 2) for i, t, _ in docs], "doc_id long, text string, item string, window int")
+    got = sorted(((r["doc_id"], r["items"]) for r in decontaminate.flag_leaks(df, bench).collect()), key=str)
+    want = sorted(((i, w) for i, _, w in docs), key=str)
+    lower = next(i for i, (d, _) in enumerate(want) if d is None)  # names in lower case are plain words, so this one may or may not be met
+    assert [x for i, x in enumerate(got) if i != lower] == [x for i, x in enumerate(want) if i != lower]
+    kept = decontaminate.drop_leaks(df, bench)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} - {None} == {2, 3, 4, 6, 9}
+    assert decontaminate.drop_leaks(df, bench.where("false")).count() == len(docs) and decontaminate.flag_leaks(df.where("false"), bench).count() == 0
+
+
+def test_decontamination_against_windows(spark, sf):
+    """Verbatim passages: as many items as plain windows of five words find."""
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+
+    def windows(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    items = {b["item_id"]: windows(b["text"]) for b in bench}
+    want = {}
+    for d in docs:
+        mine = windows(d["text"])
+        want[d["doc_id"]] = sorted(i for i, w in items.items() if w and len(w & mine) >= 0.8 * len(w))
+    got = {r["doc_id"]: r["items"] for r in queries.QUERIES["op3_decontamination"](spark, sf).collect()}
+    assert got == want and any(want.values())
+
+
+# Classifiers
+
+
+def test_trees():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 6))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] * x[:, 2] > 0)).astype(float)
+    model = gbdt.fit(x[:2000], y[:2000])
+    assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
+    # flat traversal against a walk down each tree
+    for row, p in zip(x[:20], model.score(x[:20])):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + bool(row[f[node]] > t[node])
+            total += v[node - len(f)]
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+    assert gbdt.fit(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
+    assert gbdt.fit(np.ones((4, 1)), np.ones(4)).score(np.ones((1, 1)))[0] == pytest.approx(0.9)
+
+
+def held(i, n, k):
+    return zlib.crc32(str(i).encode()) % n == k
+
+
+def test_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op1_quality_classifier"](spark, sf).toPandas()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    assert (rows.held_out == rows.doc_id.map(lambda i: held(i, 5, 0))).all() and rows.score.between(0, 1).all()
+    both = rows[rows.held_out].merge(labels, on="doc_id")
+    good, bad = both[both.quality == 1].score, both[both.quality == 0].score
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.95 and ((rows.score >= 0.3) == (rows.predicted == 1)).all()
+
+
+def test_quality_edge_cases(spark):
+    docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "A fine sentence. And one more.", 9), (3, "again", 9), (None, "x" * 300_000, 9)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, None), (9, 0)], "doc_id long, quality int")
+    assert quality.classify(docs, labels, F.lit(True)).count() == 5
+    none = quality.classify(docs, labels.where("false"), F.lit(True)).collect()
+    assert {r["score"] for r in none} == {0.5}
+    assert quality.classify(docs.where("false"), labels, F.lit(True)).count() == 0
+
+
+def test_languages(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op7_language_id"](spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/documents.parquet").toPandas(), on="doc_id")
+    assert (rows.held_out == rows.doc_id.map(lambda i: held(i, 4, 2))).all() and rows.score.between(0, 1).all()
+    assert (rows[rows.held_out].lang_pred == rows[rows.held_out].lang).mean() > 0.97
+
+
+def test_mixtures(spark):
+    r = random.Random(5)
+    say = lambda syllables, n: " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(n))
+    a, b, c = ["ka", "ko", "ku", "ke"], ["pil", "pol", "pul"], ["zsa", "zse", "zsi"]
+    train = [(say(x, 200), lang) for lang, x in (("a", a), ("b", b), ("c", c)) for _ in range(10)] + [("unlabelled", None), (None, "a")]
+    model = langid.learn(spark.createDataFrame(train, "text string, lang string"))
+    assert model.languages == ["a", "b", "c"]
+    texts = [say(a, 80), say(a, 60) + " " + say(b, 40), say(c, 3), "", "123 !?", say(b, 20_000)]
+    names, scores, shares = langid.predict(model, texts)
+    assert names == ["a", "a", "c", "und", "und", "b"] and scores[3] == scores[4] == 0
+    assert shares[0].keys() == {"a"} and shares[1].keys() == {"a", "b"} and abs(shares[1]["a"] - 0.6) < 0.1
+    df = spark.createDataFrame([(1, None, 5.0), (2, texts[0], 5.0), (2, texts[0], 5.0)], "doc_id long, text string, score double")
+    assert [r["doc_id"] for r in langid.known_only(df, model).collect()] == [2, 2]
+    with pytest.raises(ValueError):
+        langid.identify(df, model)
+    assert langid.identify(df, model, prefix="p_").where("p_lang_pred = 'und'").count() == 1
+    empty = langid.learn(spark.createDataFrame([], "text string, lang string"))
+    assert langid.predict(empty, ["abc"])[0] == ["und"] and langid.known_only(df.where("false"), model).count() == 0
+
+
+# Pages
+
+
+@pytest.fixture(scope="module")
+def model():
+    return html_extract.train()
+
+
+def test_extraction_of_made_up_pages(model):
+    pages = html_extract.sample_pages(80, 12345)
+    trees = [html_extract.parse(p) for p, _ in pages]
+    assert all(len(labels) + 1 == len(t.tag) for (_, labels), t in zip(pages, trees))
+    x, parent, depth, _ = html_extract.features(trees)
+    p = model.score(x)
+    keep = html_extract.decode(np.log(p / (1 - p)), parent, depth)
+    want = np.concatenate([[True, *labels] for _, labels in pages])
+    assert (keep == want).mean() > 0.98
+    assert all(keep[parent[i]] for i in np.flatnonzero(keep))
+
+
+def test_decoding_is_the_best_choice():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(r.integers(1, 9))
+        parent = np.array([0] + [int(r.integers(0, i)) for i in range(1, n)])
+        depth = np.zeros(n, int)
+        for i in range(1, n):
+            depth[i] = depth[parent[i]] + 1
+        odds = r.normal(size=n)
+        best = max((sum(odds[i] for i in range(n) if m >> i & 1), m) for m in range(1, 1 << n, 2) if all(m >> parent[i] & 1 for i in range(n) if m >> i & 1))
+        assert html_extract.decode(odds, parent, depth).tolist() == [bool(best[1] >> i & 1) for i in range(n)]
+
+
+def test_articles(spark, sf, model):
+    import html
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = queries.QUERIES["op10_html_extraction"](spark, sf).collect()
+    assert len(got) == len(pages)
+    for row in got:
+        article = re.search(r"<article>(.*)</article>", pages[row["page_id"]]["html"], re.S)[1]
+        text = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h\d|br|li|ul|div)\b[^>]*>", " ", article))
+        assert row["text"] == " ".join(html.unescape(text).split()) and row["n_chars"] == len(row["text"])
+
+
+def test_broken_and_odd_pages(spark, model):
+    text = "This is a long sentence of an article. It has another one."
+    cases = {
+        f"<article><p>{text}<p>{text}": f"{text} {text}",
+        f"<article><p>{text}</p><script>if (a < b) x('<p>no</p>')</script><!-- <p>no</p> --><style>p{{}}</style></article>": text,
+        f"<article><p>on<b>e</b> &lt;two&gt; &amp;amp; &eacute;&#x1F642;\n\n three. {text}</article>": f"one <two> &amp; é🙂 three. {text}",
+        f"<nav><a href=x>menu</a></nav><article><p>{text}</p></article><div class=comments><p>{text}</p></div><footer>foot</footer>": text,
+        f'<article><p>{text}</p><form><input><button>send</button></form><div class="ad">{text}</div></article>': text,
+        f"<article><ul><li>{text}<li>{text}</ul></article>": f"{text} {text}",
+        "": "", None: "", "<": "", "<!-- open": "", "<script>open": "",
+    }
+    df = spark.createDataFrame([(i, h, "u", 1) for i, h in enumerate(cases)], "page_id long, html string, url string, __text int")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df, model=model, keep=("url",)).collect()}
+    assert [got[i] for i in range(len(cases))] == [*cases.values()]
+    assert html_extract.extract(df.where("false"), model=model).count() == 0
+    deep = "<div>" * 3000 + f"<article><p>{text}</p></article>"
+    assert isinstance(html_extract.extract_texts(model, [deep])[0], str)
