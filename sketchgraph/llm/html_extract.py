@@ -434,8 +434,8 @@ def _page(r: random.Random) -> tuple[str, list[bool]]:
                     labels.append(True)  # a paragraph that isn't closed, as in `<p><b>x<br><p>`
                     out.append(f"<p><b>{sentence()}<br>")
                 article_part()
-            if r.random() < 0.15:
-                r.choice((share, comments, side))()
+            if r.random() < 0.25:
+                r.choice((share, comments, side, foot))()
 
         kind = r.random()
         if kind < 0.55:

@@ -50,7 +50,7 @@ def test_line_dedup(spark):
     got = {x["doc_id"]: x["text"] for x in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = brute_dedup(docs)
     assert got == want
-    assert got[107] == "" and want[100] == ""
+    assert got[107] == ""
     assert sum(shared[4] in (t or "") for t in got.values()) == 1
 
 
