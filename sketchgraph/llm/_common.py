@@ -12,7 +12,7 @@ from ..checkpoints import shared_path, written  # noqa: F401
 from ..shipping import ship
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

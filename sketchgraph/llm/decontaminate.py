@@ -32,7 +32,7 @@ from ._common import map_arrow, slices, texts_of, written
 
 WINDOW, COVERAGE, LITERALS = 5, 0.8, 2
 BITMAP_BITS = 24
-MAX_WORDS = 600_000
+MAX_WORDS = 200_000
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 #: Fixed words for numbers and for measures.
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split())

@@ -28,6 +28,8 @@ LEAF = r"(?<=[\p{P}ds]\s)"
 PARAGRAPH, SECTION = r"(?<=\n)", r"(?<=\n\n)"
 #: Ranges for each shuffle partition, so that hashed ranges spread evenly.
 RANGES = 8
+#: Ranges at most, as their cuts are literals of the plan; larger tables have longer ranges, no fewer rows.
+MOST_RANGES = 20_000
 
 
 def tree(text: Column) -> Column:
@@ -79,7 +81,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id, text and next_text: the text of the next lower id; after the lowest comes the highest."""
     rows = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
-    n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MOST_RANGES, RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = rows.select("key")
     cuts = keys.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)
     top = keys.agg(F.max("key")).head()[0]

@@ -1,7 +1,7 @@
 """Quality of documents by boosted trees over statistics of their whole texts.
 
 The statistics of all documents are computed once and written; a model is fitted on the driver to a bounded
-sample of labelled ones (`max_rows`, those first by a hash of their id), flattened into arrays and broadcast; all
+sample of labelled ones (about `max_rows` at most, chosen by a hash of their id), flattened into arrays and broadcast; all
 documents are then scored from their statistics.
 
 Inputs: null and empty texts have statistics of zero and are scored like others; repeated ids are scored each on its
@@ -103,7 +103,10 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> gbdt.Trees:
     """Trees for label_col (0 or 1) of the labelled rows of stats."""
     labels = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("label"))
-    rows = stats.join(labels, id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), "label").limit(max_rows).select("stats", "label").toArrow()
+    labels = labels.withColumn("__order", F.xxhash64(F.col(id_col).cast("string")))
+    if (n := labels.count()) > max_rows:  # each task then sends its share of the sample, and not max_rows rows
+        labels = labels.where(F.pmod("__order", F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * (1.1 * max_rows + 1000) / n) + 1))
+    rows = stats.join(labels, id_col).orderBy("__order", "label").limit(max_rows).select("stats", "label").toArrow()
     x = rows.column("stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, len(NAMES)))
     return gbdt.fit(x, rows.column("label").to_numpy())
 

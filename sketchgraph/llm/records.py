@@ -39,7 +39,7 @@ from .word_table import WordMemo
 MANIFEST = "shard int, path string, n_records long, n_ids long"
 HEAD, CRC, KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
 #: Words whose ids a worker keeps, with about 60 bytes each.
-MAX_WORDS = 2_000_000
+MAX_WORDS = 1_200_000
 
 
 def masked(data: bytes) -> int:

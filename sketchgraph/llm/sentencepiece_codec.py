@@ -28,7 +28,7 @@ from .word_table import WordMemo
 
 SPACE = "▁"
 #: Words a worker remembers, and characters that it indexes at once.
-MAX_WORDS, INDEX_CHARS = 1_500_000, 1 << 18
+MAX_WORDS, INDEX_CHARS = 1_000_000, 1 << 17
 
 
 def merged(text: str, pieces: dict[str, int], score: list[float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -127,8 +127,9 @@ def occurrences(text: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.nda
     rows = np.flatnonzero(there.all(1))
     wanted, lengths = place[rows], model.lengths[rows]
     inside = np.arange(model.longest)[None, :] < lengths[:, None]
-    order = suffix_array(dense.astype(np.int64), model.longest)
-    padded = np.append(dense, np.zeros(model.longest, dense.dtype))
+    order = suffix_array(dense.astype(np.int64), model.longest).astype(np.int32)
+    padded = np.append(dense, np.zeros(model.longest, dense.dtype)).astype(np.int32)
+    wanted = wanted.astype(np.int32)
     span = np.arange(model.longest)[None, :]
 
     def bound(upper: bool) -> np.ndarray:
@@ -147,8 +148,8 @@ def occurrences(text: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.nda
     low, n = bound(False), None
     n = bound(True) - low
     total = np.cumsum(n) - n
-    at = np.repeat(low - total, n) + np.arange(n.sum())
-    return order[at], np.repeat(rows, n)
+    at = np.repeat((low - total).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+    return order[at], np.repeat(rows.astype(np.int32), n)
 
 
 def encode_words(model: PieceModel, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +159,13 @@ def encode_words(model: PieceModel, words: list[np.ndarray]) -> tuple[np.ndarray
     text = np.zeros(int(sizes.sum()) + len(words), np.int64)
     text[np.delete(np.arange(len(text)), starts + sizes)] = np.concatenate(words)
     at, row = occurrences(text, model)
-    length, piece = model.lengths[row], model.ids[row]
+    length, piece = model.lengths[row].astype(np.int32), model.ids[row].astype(np.int32)
     single = np.zeros(len(text), bool)
     single[at[length == 1]] = True
-    bare = np.flatnonzero(~single & (text != 0))
-    at, length, piece = np.append(at, bare), np.append(length, np.ones(len(bare), np.int64)), np.append(piece, np.full(len(bare), model.size))
-    owner = np.repeat(np.arange(len(words)), sizes + 1)
-    offset = at - starts[owner[at]] + length
+    bare = np.flatnonzero(~single & (text != 0)).astype(np.int32)
+    at, length, piece = np.append(at, bare), np.append(length, np.ones_like(bare)), np.append(piece, np.full_like(bare, model.size))
+    begin = np.repeat(starts.astype(np.int32), sizes + 1)
+    offset = at - begin[at] + length
     order = np.argsort(offset.astype(np.uint16) if len(offset) and offset.max() < 1 << 16 else offset, kind="stable")
     at, length, piece, offset = at[order], length[order], piece[order], offset[order]
     last, back, count = np.full(len(text), -1), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
