@@ -92,8 +92,7 @@ keyed as (
     select doc_id, text, line_no, unnest(case
         when len(t) < 5 then []
         when len(t) // 2 < 10 then [concat('all ', array_to_string(t, ' '))]
-        else [concat('first ', len(t), ' ', array_to_string(t[1:3], ' '), ' ', array_to_string(t[1:len(t) // 2], ' ')),
-              concat('last ', len(t), ' ', array_to_string(t[1:3], ' '), ' ', array_to_string(t[len(t) // 2 + 1:], ' '))] end) as key
+        else [concat('first ', len(t), ' ', array_to_string(t[1:len(t) // 2], ' ')), concat('last ', len(t), ' ', array_to_string(t[len(t) // 2 + 1:], ' '))] end) as key
     from tokens),
 recurring as (select key, min(doc_id) as keeper from keyed group by key having min(doc_id) <> max(doc_id)),
 drops as (select distinct doc_id, line_no from keyed join recurring using (key) where doc_id <> keeper),

@@ -28,7 +28,7 @@ from .word_table import WordMemo
 
 SPACE = "▁"
 #: Words a worker remembers, and characters that it indexes at once.
-MAX_WORDS, INDEX_CHARS = 1_000_000, 1 << 17
+MAX_WORDS, INDEX_CHARS = 1_000_000, 1 << 18
 
 
 def merged(text: str, pieces: dict[str, int], score: list[float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -107,49 +107,62 @@ class PieceModel:
         return out
 
 
+def packed(text: np.ndarray, at: np.ndarray, skip: int, take: int, bits: int) -> np.ndarray:
+    """The numbers of a text from at + skip on, `take` of them in one; past the end counts as 0."""
+    padded = np.append(text, np.zeros(skip + take, text.dtype))
+    out = np.zeros(len(at), np.int64)
+    for j in range(take):
+        out = out << bits | padded[at + (skip + j)]
+    return out
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of a text of small numbers in the order of the `depth` (or more) numbers that begin there; past the end counts as 0."""
-    rank, width = text, 1
-    while True:
-        last = width >= depth
-        if last:
-            return np.argsort(rank, kind="stable")
-        after = np.append(rank[width:], np.zeros(min(width, len(rank)), rank.dtype))
-        rank = np.unique(rank * (rank.max(initial=0) + 1) + after, return_inverse=True)[1]
-        width *= 2
+    bits = max(1, int(text.max(initial=0)).bit_length())
+    take, every = min(depth, 62 // bits), np.arange(len(text))
+    return np.lexsort([packed(text, every, skip, take, bits) for skip in range(0, depth, take)][::-1])
 
 
 def occurrences(text: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
-    """Position and row of the model's piece of each occurrence of a piece in a text of code points plus 1."""
+    """Position and row of the model's piece of each occurrence of a piece in a text of code points plus 1, with a 0 in it."""
     alphabet, dense = np.unique(text, return_inverse=True)
+    dense = dense.astype(np.int64)
     place = np.searchsorted(alphabet, model.chars)
     there = (alphabet[np.minimum(place, len(alphabet) - 1)] == model.chars) | (model.chars == 0)
     rows = np.flatnonzero(there.all(1))
     wanted, lengths = place[rows], model.lengths[rows]
-    inside = np.arange(model.longest)[None, :] < lengths[:, None]
-    order = suffix_array(dense.astype(np.int64), model.longest).astype(np.int32)
-    padded = np.append(dense, np.zeros(model.longest, dense.dtype)).astype(np.int32)
-    wanted = wanted.astype(np.int32)
+    order = suffix_array(dense, model.longest)
+    # The first characters of suffixes and pieces as one number each; shorter pieces stand for a range of numbers.
+    bits = max(1, int(dense.max(initial=0)).bit_length())
+    take = min(model.longest, 62 // bits)
+    keys = packed(dense, order, 0, take, bits)
+    least = np.zeros(len(rows), np.int64)
+    for j in range(take):
+        least = least << bits | wanted[:, j]
+    most = least + (np.int64(1) << (bits * np.maximum(take - lengths, 0))) - 1
+    low, high = np.searchsorted(keys, least, "left"), np.searchsorted(keys, most, "right")
+    # Longer pieces: binary search by all of their characters within that range.
+    long = np.flatnonzero((lengths > take) & (low < high))
+    padded = np.append(dense, np.zeros(model.longest, dense.dtype))
     span = np.arange(model.longest)[None, :]
-
-    def bound(upper: bool) -> np.ndarray:
-        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(text))
-        while (low < high).any():
-            middle = (low + high) // 2
-            here = padded[order[np.minimum(middle, len(text) - 1)][:, None] + span]
-            differ = (here != wanted) & inside
+    bounds = []
+    for upper in (False, True):
+        left, right, open_ = low[long].copy(), high[long].copy(), np.arange(len(long))
+        while len(open_ := open_[left[open_] < right[open_]]):
+            middle = (left[open_] + right[open_]) // 2
+            mine = wanted[long[open_]]
+            here = padded[order[middle][:, None] + span]
+            differ = (here != mine) & (span < lengths[long[open_]][:, None])
             first = differ.argmax(1)[:, None]
-            sign = np.where(differ.any(1), np.sign(np.take_along_axis(here, first, 1) - np.take_along_axis(wanted, first, 1))[:, 0], 0)
-            right = (sign < 0) | ((sign == 0) & upper)
-            right &= low < high
-            low, high = np.where(right, middle + 1, low), np.where(right | (low >= high), high, middle)
-        return low
-
-    low, n = bound(False), None
-    n = bound(True) - low
+            step = np.take_along_axis(here, first, 1)[:, 0] - np.take_along_axis(mine, first, 1)[:, 0]
+            after = differ.any(1) & (step < 0) | ~differ.any(1) & upper
+            left[open_[after]], right[open_[~after]] = middle[after] + 1, middle[~after]
+        bounds.append(left)
+    low[long], high[long] = bounds
+    n = high - low
     total = np.cumsum(n) - n
     at = np.repeat((low - total).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
-    return order[at], np.repeat(rows.astype(np.int32), n)
+    return order[at].astype(np.int32), np.repeat(rows.astype(np.int32), n)
 
 
 def encode_words(model: PieceModel, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
