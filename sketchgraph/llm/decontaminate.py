@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,38 +71,50 @@ class _Words(dict):
 _words = _Words()
 
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window that counts: its place, its hash (uint64) and the values of its slots (uint64, 0 for a plain word)."""
-    got = _TOKEN.findall(text)
-    codes = np.fromiter(map(_words.__getitem__, got), np.uint64, len(got))
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window that counts: the number of its text, its place, its hash (uint64) and the values of its slots (uint64, 0 for a plain word)."""
+    got = [_TOKEN.findall(t) for t in texts]
+    sizes = np.fromiter(map(len, got), np.int64, len(got))
+    codes = np.fromiter(map(_words.__getitem__, chain.from_iterable(got)), np.uint64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(texts)), sizes)
     kinds, codes = (codes & np.uint64(7)).astype(np.int8), codes & ~np.uint64(7)
     word = kinds != _ENDER
-    starts = np.append(True, ~word[:-1])[: len(word)][word]
-    kinds, codes = kinds[word], codes[word]
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.uint64)
-    if not len(codes):
-        return none
-    number_before = np.append(False, kinds[:-1] == NUMBER)
+    if not word.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.uint64)
+    changes = lambda x: np.append(True, x[1:] != x[:-1])
+    starts = (np.append(True, ~word[:-1]) | changes(owner))[word]
+    kinds, codes, owner = kinds[word], codes[word], owner[word]
+    new_text = changes(owner)
+    number_before = np.append(False, kinds[:-1] == NUMBER) & ~new_text
     slot = np.where((kinds == NUMBER) | (kinds == UNIT) & number_before | (kinds == TITLE) & ~starts, kinds, PLAIN)
-    first = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (slot[1:] == PLAIN)))
-    values = np.add.reduceat(codes * (np.arange(len(codes), dtype=np.uint64) - np.repeat(first, np.diff(np.append(first, len(codes)))).astype(np.uint64) * np.uint64(1) + np.uint64(1)), first)
-    slot, codes = slot[first], codes[first]
+    head = changes(slot) | (slot == PLAIN) | new_text
+    first = np.flatnonzero(head)
+    # The value of a slot of several words depends on their order.
+    step = (np.arange(len(codes)) - first[np.cumsum(head) - 1] + 1).astype(np.uint64)
+    values = np.add.reduceat(codes * step, first)
+    slot, codes, owner = slot[first], codes[first], owner[first]
     for kind, code in SLOT.items():
         codes[slot == kind] = code
     values = np.where(slot == PLAIN, np.uint64(0), values | np.uint64(1))
-    width = min(WINDOW, len(codes))
-    n = len(codes) - width + 1
-    hashes = np.full(n, width, np.uint64)
-    for i in range(width):
-        hashes += codes[i : i + n] * _P[i]
+    begin = np.flatnonzero(changes(owner))
+    length = np.diff(np.append(begin, len(owner)))
+    width = np.repeat(np.minimum(length, WINDOW), length)
+    place = np.arange(len(owner)) - np.repeat(begin, length)
+    at = np.flatnonzero(place <= np.repeat(length, length) - width)  # where windows begin
+    hashes, slots = width[at].astype(np.uint64), np.zeros((len(at), WINDOW), np.uint64)
+    plain = np.zeros(len(at), np.int64)
+    for i in range(WINDOW):
+        there = np.flatnonzero(width[at] > i)
+        mine = at[there] + i
+        hashes[there] += codes[mine] * _P[i]
         hashes ^= hashes >> np.uint64(31)
+        slots[there, i] = values[mine]
+        plain[there] += values[mine] == 0
     hashes *= _P[0]
-    slots = np.zeros((n, WINDOW), np.uint64)
-    for i in range(width):
-        slots[:, i] = values[i : i + n]
-    plain = (slots[:, :width] == 0).sum(1) >= min(LITERALS, width)
-    at = np.flatnonzero(plain) if plain.any() else np.arange(n)
-    return at, hashes[at], slots[at]
+    counts = plain >= np.minimum(LITERALS, width[at])
+    of = owner[at]
+    counts |= ~(np.bincount(of, counts, len(texts)) > 0)[of]  # texts that have no other windows
+    return of[counts], place[at][counts], hashes[counts], slots[counts]
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, seen: np.ndarray | None) -> DataFrame:
@@ -112,23 +125,14 @@ def _rows(df: DataFrame, id_col: str, text_col: str, seen: np.ndarray | None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                owner, ats, hashes, slots, n = [], [], [], [], []
-                for i, text in enumerate(texts_of(part)):
-                    at, h, s = windows(text)
-                    total = len(at)
-                    if shared is not None:
-                        keep = np.flatnonzero(shared.value[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
-                        at, h, s = at[keep], h[keep], s[keep]
-                    if len(at):
-                        owner.append(np.full(len(at), i))
-                        ats.append(at)
-                        hashes.append(h)
-                        slots.append(s)
-                        n.append(np.full(len(at), total))
-                if owner:
-                    take = pa.array(np.concatenate(owner))
-                    flat = np.concatenate(slots).view(np.int64).ravel()
-                    arrays = [part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(ats)), pa.array(np.concatenate(hashes).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WINDOW), pa.int32()), pa.array(flat)), pa.array(np.concatenate(n))]
+                owner, at, hashes, slots = windows(texts_of(part))
+                n = np.bincount(owner, minlength=part.num_rows)
+                if shared is not None:
+                    keep = np.flatnonzero(shared.value[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
+                    owner, at, hashes, slots = owner[keep], at[keep], hashes[keep], slots[keep]
+                if len(owner):
+                    take, flat = pa.array(owner), slots.view(np.int64).ravel()
+                    arrays = [part.column(0).take(take), part.column(1).take(take), pa.array(at), pa.array(hashes.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WINDOW), pa.int32()), pa.array(flat)), pa.array(n[owner])]
                     yield pa.RecordBatch.from_arrays(arrays, ["id", "row", "at", "window", "slots", "n"])
 
     texts = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("row"), df[text_col].alias("text"))

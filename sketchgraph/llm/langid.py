@@ -103,10 +103,9 @@ def _mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, owner: np.ndarray
     """Shares after the rounds of expectation-maximisation, and the log-likelihood. p: likelihoods by n-gram and language; n: counts."""
     total = np.add.reduceat(n, starts)[:, None]
     for _ in range(ROUNDS):
-        part = p * share[owner]
-        part *= (n / np.maximum(part.sum(1), 1e-30))[:, None]
-        share = np.add.reduceat(part, starts) / total
-    return share, np.add.reduceat(n * np.log(np.maximum((p * share[owner]).sum(1), 1e-30)), starts)
+        mixed = np.einsum("ij,ij->i", p, share[owner])
+        share = share * np.add.reduceat(p * (n / np.maximum(mixed, 1e-30))[:, None], starts) / total
+    return share, np.add.reduceat(n * np.log(np.maximum(np.einsum("ij,ij->i", p, share[owner]), 1e-30)), starts)
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
@@ -125,7 +124,7 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list
     single = np.add.reduceat(n[:, None] * log_p, starts)
     base = np.add.reduceat(n * top, starts)
     grams = np.add.reduceat(n, starts)
-    full, _ = _mixture(p, n, starts, owner, np.full((len(docs), k), 1 / k))
+    full, most = _mixture(p, n, starts, owner, np.full((len(docs), k), 1 / k))
     # The best single language leads; the others follow by their share.
     lead, rows = single.argmax(1), np.arange(len(docs))
     full[rows, lead] += 2
@@ -133,8 +132,10 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list
     best, value = np.zeros((len(docs), k)), single[rows, lead]
     best[rows, lead] = 1
     penalty = PENALTY * grams + LOG_PENALTY * np.log1p(grams)
-    open_rows = rows
+    open_rows = rows[most + base - penalty > value]  # no set is likelier than the mixture of all
     for m in range(2, k + 1):
+        if not len(open_rows):
+            break
         allowed = np.zeros((len(docs), k), bool)
         np.put_along_axis(allowed, order[:, :m], True, 1)
         pick = np.isin(owner, open_rows)
@@ -143,8 +144,6 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list
         like = like + base[new] - (m - 1) * penalty[new]
         better = like > value[new]
         open_rows = new[better]
-        if not len(open_rows):
-            break
         best[open_rows], value[open_rows] = share[better], like[better]
     # Confidence: how far the leading language explains the text better than the others do, for each n-gram.
     gap = np.exp(np.clip((single - single.max(1, keepdims=True)) / np.sqrt(grams)[:, None], -50, 0))
