@@ -71,9 +71,8 @@ met as (select a.doc as doc_a, b.doc as doc_b, sum(least(a.tf, b.tf)) as common,
 select doc_a, doc_b, round(common / (x.n + y.n - common), 6) as multiset_jaccard, round(shared / (x.terms + y.terms - shared), 6) as set_jaccard from met join n x on doc_a = x.doc join n y on doc_b = y.doc""")
 def exact_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf = minhash.term_frequencies(documents(spark, sf_dir))
-    asked = tf.where(F.col("doc") % EVERY == 0)
-    multi = minhash.multiset_jaccard(asked, tf).select("doc_a", "doc_b", F.round("jaccard", 6).alias("multiset_jaccard"))
-    return multi.join(minhash.set_jaccard(asked, tf).select("doc_a", "doc_b", F.round("jaccard", 6).alias("set_jaccard")), ["doc_a", "doc_b"])
+    both = minhash.similarities(tf.where(F.col("doc") % EVERY == 0), tf)
+    return both.select("doc_a", "doc_b", F.round("multiset", 6).alias("multiset_jaccard"), F.round("set", 6).alias("set_jaccard"))
 
 
 # MinHash and LSH
