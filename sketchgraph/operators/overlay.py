@@ -52,8 +52,7 @@ def access_counts(keys: DataFrame, base: DataFrame, diff: DataFrame, spec: Bloom
     the filter costs one access and all of its lines.
     """
     found = _located(keys, base, diff, key_col, record_key)
-    sizes = base.agg(F.count(F.lit(1)).alias("base_lines")).join(diff.agg(F.count(F.lit(1)).alias("diff_lines")))
-    found = found.join(F.broadcast(sizes))  # two rows of counts
+    found = found.withColumns({"base_lines": F.lit(base.count()), "diff_lines": F.lit(diff.count())})
     in_diff, at = F.col("__diff").isNotNull(), lambda c: F.col(f"{c}.line_no")
     base_lines = F.coalesce(at("__base"), F.col("base_lines"))
 

@@ -58,11 +58,15 @@ class PositionalIndex:
         """doc, term and weight (float)."""
         return self.counts.join(self.frequencies, "term").select("doc", "term", weight(self.n).alias("weight"))
 
-    def postings_lists(self) -> DataFrame:
-        """term and list: `[<doc:p1,p2>,<doc2:...>]` with documents ascending. One row holds all documents of a term."""
+    def entries(self) -> DataFrame:
+        """term, doc and entry: `<doc:p1,p2>` with positions ascending. The whole index, a row for each document of a term."""
         each = self.postings.groupBy("term", "doc").agg(F.array_sort(F.collect_list("pos")).alias("at"))
         entry = F.concat(F.lit("<"), F.col("doc").cast("string"), F.lit(":"), F.array_join(F.transform("at", lambda p: p.cast("string")), ","), F.lit(">"))
-        lists = each.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc", entry.alias("e")))).alias("all"))
+        return each.select("term", "doc", entry.alias("entry"))
+
+    def postings_lists(self, terms: Sequence[str]) -> DataFrame:
+        """term and list: `[<doc:p1,p2>,<doc2:...>]` of a few terms, documents ascending. A row holds all documents of its term: a printed form, for terms that are not in most documents."""
+        lists = self.entries().where(F.col("term").isin(*terms)).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc", F.col("entry").alias("e")))).alias("all"))
         return lists.select("term", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["e"]), ","), F.lit("]")).alias("list"))
 
     def scores(self, queries: Sequence[str]) -> DataFrame:

@@ -97,14 +97,13 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {SIGNATURE_SQL}
-select a.doc as doc_a, b.doc as doc_b, round(len(list_filter(list_zip(a.signature, b.signature), lambda p: p[1] = p[2])) / {K}, 6) as estimate from sigs a, sigs b where a.doc % 50 = 0 and a.doc <> b.doc""")
+select * from (select a.doc as doc_a, b.doc as doc_b, round(len(list_filter(list_zip(a.signature, b.signature), lambda p: p[1] = p[2])) / {K}, 6) as estimate from sigs a, sigs b where a.doc % 50 = 0 and a.doc <> b.doc) where estimate > 0""")
 def minhash_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..checkpoints import written
 
     sigs = written(signatures(spark, sf_dir), "signatures")
-    side = lambda x: sigs.select(F.col("doc").alias(f"doc_{x}"), F.col("signature").alias(f"sig_{x}"))
-    pairs = side("a").where(F.col("doc_a") % EVERY == 0).join(side("b"), F.col("doc_a") != F.col("doc_b"))
-    return pairs.select("doc_a", "doc_b", F.round(minhash.estimate(F.col("sig_a"), F.col("sig_b")), 6).alias("estimate"))
+    found = minhash.estimates(sigs.where(F.col("doc") % EVERY == 0), sigs, K)
+    return found.withColumn("estimate", F.round("estimate", 6))
 
 
 @query(f"""with {SIGNATURE_SQL}, n as (select doc, sum(tf) as n from tf group by doc),
@@ -410,9 +409,9 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-@query(f"with {INDEX_SQL}, l as (select term, doc, string_agg(pos::varchar, ',' order by pos) as p from postings group by all) select term, '[' || string_agg('<' || doc || ':' || p || '>', ',' order by doc) || ']' as list from l group by term")
-def postings_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.PositionalIndex.build(documents(spark, sf_dir)).postings_lists()
+@query(f"with {INDEX_SQL} select term, doc, '<' || doc || ':' || string_agg(pos::varchar, ',' order by pos) || '>' as entry from postings group by term, doc")
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.PositionalIndex.build(documents(spark, sf_dir)).entries()
 
 
 @query(f"with {INDEX_SQL} select doc, term, round((sqrt(tf) * log10(n / df))::float::double, 3) as weight from counts join dfs using (term), n")

@@ -87,6 +87,13 @@ def test_params():
         minhash.permutation_params(10, 3)
 
 
+def test_estimates(spark):
+    sigs = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 9, 3, 3]), (3, [5, 6, 7, 8])], "doc int, signature array<int>")
+    assert {tuple(r) for r in minhash.estimates(sigs, sigs, 4).collect()} == {(1, 2, 0.5), (2, 1, 0.5)}
+    side = lambda x: sigs.where(F.col("doc") == x).select(F.col("signature").alias(f"s{x}"), F.lit(1).alias("one"))
+    assert side(1).join(side(2), "one").select(minhash.estimate(F.col("s1"), F.col("s2"))).head()[0] == 0.5
+
+
 def test_accuracy(spark):
     docs = corpus(spark, ["aaa bbb ccc", "aaa bbb ccc", "ddd eee fff"])
     tf = minhash.term_frequencies(docs)
