@@ -91,6 +91,7 @@ def links(prints: DataFrame) -> DataFrame:
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("ring"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
     keys = prints.select("fp", key.alias("k")).select("k.ring", "k.key", "fp")
     sizes = keys.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = written(sizes, "sizes")  # an exchange of its own, so that the join below can split a hot key
     shared = written(keys.join(sizes, ["ring", "key"]), "keys")
 
     def within(a: Column, b: Column, ring: Column) -> Column:
