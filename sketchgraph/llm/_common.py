@@ -42,3 +42,10 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow, with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name

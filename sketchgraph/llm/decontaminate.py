@@ -173,4 +173,4 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the rows that hold an item of the benchmark."""
     found = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("__leak_id"), F.col("row").alias("__leak_row")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__leak_id")) & (F.xxhash64(docs[text_col]) == F.col("__leak_row")), "left_anti")
+    return docs.join(found, docs[id_col].eqNullSafe(found["__leak_id"]) & (F.xxhash64(docs[text_col]) == found["__leak_row"]), "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from ..shipping import ship
 from . import gbdt
-from ._common import map_arrow, slices, texts_of
+from ._common import fresh, map_arrow, slices, texts_of
 
 #: Made-up pages that the model is fitted to.
 PAGES, SEED = 900, 7
@@ -492,15 +492,16 @@ def train(n: int = PAGES, seed: int = SEED) -> gbdt.Trees:
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", model: gbdt.Trees | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """df's id_col, the columns in keep, and the main text of html_col, in text, of each row."""
+    source, out = fresh(df, "__html"), fresh(df, "__text")
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__html", 1 << 20):
-                texts = extract_texts(shared.value, texts_of(part, "__html"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], "__text"])
+            for part in slices(batch, source, 1 << 20):
+                texts = extract_texts(shared.value, texts_of(part, source))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], out])
 
-    rows = df.select(id_col, *keep, df[html_col].alias("__html"))
+    rows = df.select(id_col, *keep, df[html_col].alias(source))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_arrow(rows, run, f"{fields}, `__text` string").withColumnRenamed("__text", "text")
+    return map_arrow(rows, run, f"{fields}, `{out}` string").withColumnRenamed(out, "text")

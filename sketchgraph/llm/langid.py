@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import map_arrow, slices, texts_of
+from ._common import fresh, map_arrow, slices, texts_of
 from .token_counts import LETTER, char_classes
 
 UNKNOWN = "und"
@@ -156,27 +156,33 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """df with lang_pred, score and shares (a map of the languages found), their names after prefix. The model, of bounded size, is broadcast."""
+    """df with lang_pred, score and shares (a map of the languages found), their names after prefix, in place of columns of these names.
+
+    The model, of bounded size, is broadcast.
+    """
     names = [prefix + c for c in ("lang_pred", "score", "shares")]
-    if clash := {*names} & {*df.columns}:
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    source, columns = fresh(df, "__text"), [c for c in df.columns if c not in names]
+    df = df.select(*columns, df[text_col].alias(source))
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, SLICE):
+            for part in slices(batch, source, SLICE):
                 for i in range(0, part.num_rows, 512):
                     few = part.slice(i, 512)
-                    langs, scores, shares = predict(shared.value, texts_of(few, text_col))
+                    langs, scores, shares = predict(shared.value, texts_of(few, source))
                     found = pa.array([[*s.items()] for s in shares], pa.map_(pa.string(), pa.float64()))
-                    yield pa.RecordBatch.from_arrays([*few.columns, pa.array(langs, pa.string()), pa.array(scores), found], [*few.schema.names, *names])
+                    yield pa.RecordBatch.from_arrays([*few.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), found], [*columns, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return map_arrow(df, run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
+    return map_arrow(df, run, f"{fields}{', ' if fields else ''}`{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>")
 
 
 def known_only(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """df without the rows of unknown language or of a score below least."""
-    rows = identify(df, model, text_col, "__ll_")
-    return rows.where((F.col("__ll_lang_pred") != UNKNOWN) & (F.col("__ll_score") >= least)).select(*df.columns)
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    rows = identify(df, model, text_col, prefix)
+    return rows.where((F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= least)).select(*df.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
-from ._common import map_arrow, slices, texts_of
+from ._common import fresh, map_arrow, slices, texts_of
 from .bpe_merges import MergeTable
 from .word_table import WordMemo
 
@@ -260,34 +260,35 @@ def piece_model(path: str) -> PieceModel:
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """df's columns (all, or those named) with the ids of text_col (array of int) in ids_col.
+    """df's columns (all, or those named) with the ids of text_col (array of int) in ids_col, in place of one of that name.
 
     check_col, if named, says whether decoding the ids gives the text back (null counts as empty). The model, bounded by
     its vocabulary, is broadcast.
     """
     ship(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(piece_model(model_path))
-    columns = df.columns if columns is None else [*columns]
-    rows = df.select(*columns, df[text_col].alias("__text"))
+    new = {ids_col: "array<int>"} | ({check_col: "boolean"} if check_col else {})
+    columns = [c for c in (df.columns if columns is None else columns) if c not in new]
+    source = fresh(df, "__text")
+    rows = df.select(*columns, df[text_col].alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = texts_of(part, "__text")
+            for part in slices(batch, source):
+                texts = texts_of(part, source)
                 ids, starts = codec.encode(texts)
                 out = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))]
                 if check_col:
                     out.append(pa.array([codec.decode(ids[a:b].tolist()) == t for a, b, t in zip(starts[:-1].tolist(), starts[1:].tolist(), texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    new = {ids_col: "array<int>"} | ({check_col: "boolean"} if check_col else {})
     names = [*columns, *new]
     return _mapped(rows, columns, run, new)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df with the text of ids_col in text_col; null ids give an empty text."""
+    """df with the text of ids_col in text_col, in place of a column of that name; null ids give an empty text."""
     ship(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(piece_model(model_path))
 
@@ -296,14 +297,13 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [codec.decode(x or []) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
+                texts = [codec.decode(x or []) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*columns, text_col])
 
-    return _mapped(df, df.columns, run, {text_col: "string"})
+    columns = [c for c in df.columns if c != text_col]
+    return _mapped(df.select(*columns, df[ids_col].alias(fresh(df, "__ids"))), columns, run, {text_col: "string"})
 
 
 def _mapped(df: DataFrame, columns: Sequence[str], run, new: dict[str, str]) -> DataFrame:
-    if clash := {*new} & {*columns}:
-        raise ValueError(f"there are columns {sorted(clash)} already")
     kinds = {c: df.schema[c].dataType.simpleString() for c in columns} | new
     return map_arrow(df, run, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))

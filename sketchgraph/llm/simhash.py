@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, slices, texts_of, written
+from ._common import fresh, map_arrow, slices, texts_of, written
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 3, 64
@@ -125,15 +125,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component: the one of the smallest id (a null only if there is no other), then of the smallest hash of its text."""
-    row = F.struct(F.col("id").isNull().alias("null"), "id", "row")
+    least = F.struct(F.col("id").isNull().alias("null"), "id", "row")
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("row"))
     docs = written(fingerprints(docs.select(F.struct("id", "row").alias("id"), "text"), "id", "text").select("id.*", "fp"), "fingerprints")
-    best = _of_components(docs.groupBy("fp").agg(F.min(row).alias("least"))).select("least").distinct()
+    best = _of_components(docs.groupBy("fp").agg(F.min(least).alias("least"))).select("least").distinct()
     best = best.select(F.col("least.id").alias("__best_id"), F.col("least.row").alias("__best_row"))
-    out = df.join(best, df[id_col].eqNullSafe(F.col("__best_id")) & (F.xxhash64(df[text_col]) == F.col("__best_row")), "left_semi")
+    out = df.join(best, df[id_col].eqNullSafe(best["__best_id"]) & (F.xxhash64(df[text_col]) == best["__best_row"]), "left_semi")
     again = docs.groupBy("id", "row").count().where("count > 1").join(best, F.col("id").eqNullSafe(F.col("__best_id")) & (F.col("row") == F.col("__best_row")), "left_semi")
     if not again.isEmpty():  # rows that are equal in id and text: one of them
-        out = out.withColumn("__row", F.xxhash64(text_col)).dropDuplicates([id_col, "__row"]).drop("__row")
+        row = fresh(df, "__row")
+        out = out.withColumn(row, F.xxhash64(text_col)).dropDuplicates([id_col, row]).drop(row)
     return out
 
 

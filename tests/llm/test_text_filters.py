@@ -231,8 +231,9 @@ def test_mixtures(spark):
     assert shares[0].keys() == {"a"} and shares[1].keys() == {"a", "b"} and abs(shares[1]["a"] - 0.6) < 0.1
     df = spark.createDataFrame([(1, None, 5.0), (2, texts[0], 5.0), (2, texts[0], 5.0)], "doc_id long, text string, score double")
     assert [r["doc_id"] for r in langid.known_only(df, model).collect()] == [2, 2]
-    with pytest.raises(ValueError):
-        langid.identify(df, model)
+    assert langid.identify(df, model).columns == ["doc_id", "text", "lang_pred", "score", "shares"]
+    assert {r["score"] for r in langid.identify(df, model).collect()} == {0.0, 1.0}
+    assert langid.known_only(df.withColumnsRenamed({"score": "__score", "text": "__text"}), model, text_col="__text").columns == ["doc_id", "__text", "__score"]
     assert langid.identify(df, model, prefix="p_").where("p_lang_pred = 'und'").count() == 1
     empty = langid.learn(spark.createDataFrame([], "text string, lang string"))
     assert langid.predict(empty, ["abc"])[0] == ["und"] and langid.known_only(df.where("false"), model).count() == 0

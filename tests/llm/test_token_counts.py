@@ -3,7 +3,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sketchgraph.llm import bpe_merges, queries, records, sentencepiece_codec, token_counts
 from sketchgraph.llm.word_table import LONGEST, WordTable, span_keys
@@ -161,7 +160,7 @@ def test_encode_and_decode(spark, pieces):
     assert [list(r["ids"]) for r in got] == pieces.encode([t or "" for t in texts], num_threads=1)
     assert all(r["ok"] == (r["decoded"] == (r["text"] or "")) and r["n_tokens"] == 1 for r in got)
     assert sentencepiece_codec.encode(rows(spark, []), PIECES).count() == 0
-    with pytest.raises(ValueError):
-        sentencepiece_codec.encode(rows(spark, []), PIECES, ids_col="text")
-    with pytest.raises(ValueError):
-        sentencepiece_codec.encode(rows(spark, []), PIECES, ids_col="doc_id").withColumn("x", F.lit(1))
+    clash = sentencepiece_codec.encode(rows(spark, texts[:4]).withColumnRenamed("text", "__text"), PIECES, text_col="__text", ids_col="n_tokens")
+    assert clash.columns == ["doc_id", "__text", "n_tokens"] and [list(r["n_tokens"]) for r in clash.orderBy("doc_id").collect()][2] == pieces.encode("same")
+    back = sentencepiece_codec.decode(clash, PIECES, ids_col="n_tokens", text_col="__text")
+    assert {r["__text"] for r in back.collect()} == {"", "same"} and {*back.columns} == {*clash.columns}
