@@ -37,25 +37,28 @@ def page_rank(edges: DataFrame, approximation: float = 0.01, damping: float = 0.
     """id, rank, out_degree and in_degree. Ranks begin at 1, so they sum to the number of vertices; normalize divides by it.
 
     Runs until the ranks change by no more than approximation in total, or for a fixed number of iterations. A
-    vertex without outgoing edges gives its rank to all alike. Of a step only two sums come to the driver. Vertices and
-    edges stay partitioned by id and src; the step's tables are written every few steps to end their lineage.
+    vertex without outgoing edges gives its rank to all alike. Of a step only sums come to the driver; its ranks are
+    written, which ends their lineage.
     """
     once = written(clean(edges), "edges")
-    state = written(degrees(once, extra).withColumn("rank", F.lit(1.0)), "ranks")
-    n, turn = state.count(), 0
-    if not n:
-        return state.select("id", "rank", "out_degree", "in_degree")
-    while iterations is None or turn < iterations:
-        dangling, total = state.agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)), F.sum("rank")).head()
+    state = written(degrees(once, extra).select("*", F.lit(1.0).alias("rank"), F.lit(0.0).alias("before")), "ranks")
+
+    def sums(of: DataFrame) -> tuple[int, float, float, float]:
+        """Vertices, total rank, rank of vertices without outgoing edges, change: in one job."""
+        dangling = F.sum(F.when(F.col("out_degree") == 0, F.col("rank")).otherwise(0.0))
+        return of.agg(F.count(F.lit(1)), F.sum("rank"), dangling, F.sum(F.abs(F.col("rank") - F.col("before")))).head()
+
+    n, total, dangling, _ = sums(state)
+    turn = 0
+    while n and (iterations is None or turn < iterations):
         shares = state.where("out_degree > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("share"))
         given = once.join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
         rest = damping * dangling / n + (1 - damping) * total / n
-        new = state.join(given, "id", "left").select("id", (damping * F.coalesce("given", F.lit(0.0)) + rest).alias("rank"), "out_degree", "in_degree", F.col("rank").alias("before"))
-        new = written(new, "ranks")
+        new = state.join(given, "id", "left").select("id", "out_degree", "in_degree", (damping * F.coalesce("given", F.lit(0.0)) + rest).alias("rank"), F.col("rank").alias("before"))
+        state = written(new, "ranks")
+        n, total, dangling, change = sums(state)
         turn += 1
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).head()[0] if iterations is None else None
-        state = new.drop("before")
-        if change is not None and change <= approximation:
+        if iterations is None and change <= approximation:
             break
     rank = F.col("rank") / n if normalize else F.col("rank")
     return state.select("id", rank.alias("rank"), "out_degree", "in_degree")
