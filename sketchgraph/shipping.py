@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,7 +24,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
-    name = os.path.join(tempfile.mkdtemp(prefix="sketchgraph-"), "sketchgraph.zip")
+    folder = tempfile.mkdtemp(prefix="sketchgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "sketchgraph.zip")
     Path(name).write_bytes(data.getvalue())
     sc.addPyFile(name)
     _shipped.add(sc.applicationId)
