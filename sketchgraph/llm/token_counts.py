@@ -144,18 +144,22 @@ def word_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
             ending[quotes[ok]] = size
     symbols = symbol(kinds.astype(np.int64), before_text, ending, begin[:n])
     step, begins = splitter()
+    # States that every symbol takes to the same state need one track of a chunk's map.
+    _, tracks, track_of = np.unique(step.reshape(-1, 8), axis=1, return_index=True, return_inverse=True)
+    track_of = track_of.ravel()
     rows = -(-n // CHUNK)
     grid = np.zeros(rows * CHUNK, np.int64)
     grid[:n] = symbols * 8
     grid = np.ascontiguousarray(grid.reshape(rows, CHUNK).T)
-    maps = np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
+    maps = np.tile(tracks.astype(np.uint8), (rows, 1)).T
     for column in grid:
-        maps = step[column[:, None] + maps]
+        maps = step[column + maps]
+    maps = np.ascontiguousarray(maps.T)
     reach = 1
     while reach < rows:  # inclusive scan: after it, row i maps the state before all to the state after chunk i
-        maps[reach:] = np.take_along_axis(maps[reach:], maps[:-reach], 1)
+        maps[reach:] = np.take_along_axis(maps[reach:], track_of[maps[:-reach]], 1)
         reach *= 2
-    state = np.append(np.uint8(BEGIN), maps[:-1, BEGIN]) if rows else maps[:, 0]
+    state = np.append(np.uint8(BEGIN), maps[:-1, track_of[BEGIN]]) if rows else maps[:, 0]
     out = np.empty((CHUNK, rows), np.uint8)
     for i, column in enumerate(grid):
         at = column + state
