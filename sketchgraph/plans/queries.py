@@ -12,6 +12,7 @@ from ..operators import bloom, graph, linalg, links, lsh, minhash, overlay, robo
 from ..operators import crawl as crawling
 from ..operators.weighted import heaviest, positions
 from ..sources import text_files
+from ..spread import spread
 from . import ranker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
 # Terms
@@ -332,7 +333,7 @@ def matrix_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with their menus, which stand before the first paragraph, counted in."""
-    return table(spark, sf_dir, "pages").select("url", F.concat(F.lit("<p>"), F.col("html")).alias("html"))
+    return spread(table(spark, sf_dir, "pages").select("url", "html")).select("url", F.concat(F.lit("<p>"), F.col("html")).alias("html"))
 
 
 LINKS_SQL = """with recursive_free as (select url, regexp_extract('<p>' || html, '(?is)<p>.*') as body from pages),
