@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from ._common import fresh, map_arrow, slices, texts_of, written
 from .components import components
 
@@ -119,16 +120,24 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fp (bigint), fingerprint (16 hex digits) and component_id (the smallest id reachable over links) of each row."""
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
-    of = _of_components(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
+    prints = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "prints")
+    of = _of_components(prints, components(links(prints)))
     return docs.join(of, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: the one of the smallest id (a null only if there is no other), then of the smallest hash of its text."""
+    """df with one row of each group of texts that are alike by their five-word shingles (see near_copies): the one of the smallest id (a null only if there is no other), then of the smallest hash of its text."""
     least = F.struct(F.col("id").isNull().alias("null"), "id", "row")
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("row"))
-    docs = written(fingerprints(docs.select(F.struct("id", "row").alias("id"), "text"), "id", "text").select("id.*", "fp"), "fingerprints")
-    best = _of_components(docs.groupBy("fp").agg(F.min(least).alias("least"))).select("least").distinct()
+    texts, docs = docs, written(near_copies.nodes(docs.select(F.struct("id", "row").alias("id"), "text")).select("id.*", "fp", "n", "keys"), "nodes")
+    prints = written(docs.groupBy("fp").agg(F.min(least).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prints")
+
+    def texts_at(ends: DataFrame) -> DataFrame:
+        """fp and text of the row that stands for each node."""
+        first = prints.join(ends, "fp", "left_semi").select("fp", F.col("least.id").alias("__id"), F.col("least.row").alias("__row"))
+        return texts.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("fp", "text").dropDuplicates(["fp"])
+
+    best = _of_components(prints.select("fp", "least"), near_copies.roots(prints, texts_at)).select("least").distinct()
     best = best.select(F.col("least.id").alias("__best_id"), F.col("least.row").alias("__best_row"))
     out = df.join(best, df[id_col].eqNullSafe(best["__best_id"]) & (F.xxhash64(df[text_col]) == best["__best_row"]), "left_semi")
     again = docs.groupBy("id", "row").count().where("count > 1").join(best, F.col("id").eqNullSafe(F.col("__best_id")) & (F.col("row") == F.col("__best_row")), "left_semi")
@@ -138,10 +147,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out
 
 
-def _of_components(prints: DataFrame) -> DataFrame:
+def _of_components(prints: DataFrame, roots: DataFrame | None) -> DataFrame:
     """fp and the least of its component, from fp and the least of its rows."""
-    prints = written(prints, "prints")
-    roots = components(links(prints))
     if roots is None:
         return prints
     member = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
