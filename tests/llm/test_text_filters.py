@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sketchgraph.llm import decontaminate, gbdt, html_extract, langid, line_dedup, merkle, quality, queries
 
 # Line dedup
@@ -64,6 +65,15 @@ def test_line_dedup_edge_cases(spark):
     assert line_dedup.drop_recurring_lines(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_short_lines(spark):
+    docs = [(1, "All rights reserved.\nPage 3\n12\n\nmine"), (2, "All rights reserved.\nPage 4\n13\n\n12 7"), (3, "x\n12\n \nyours")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(df, min_tokens=1).collect()}
+    assert got == {1: docs[0][1], 2: "13\n\n12 7", 3: "x\n \nyours"}
+    assert corpus_pipeline.dedup_lines(spark, df.selectExpr("*", "'en' lang", "'s' source", "0L n_chars"), "").where("text like '%rights%'").count() == 1
+    assert [r["text"] for r in line_dedup.drop_recurring_lines(df).orderBy("doc_id").collect()] == [t for _, t in docs]
+
+
 def test_line_dedup_against_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
