@@ -36,6 +36,8 @@ PENALTY, LOG_PENALTY = 0.03, 4.0
 ROUNDS, SLICE = 12, 1 << 20
 #: Score under which `known_only` rejects a document: no language explains it better than chance between several.
 LEAST = 0.2
+#: How far the log-likelihood of an n-gram may lie below what the chosen languages expect of their own texts: in all, and in standard errors.
+SLACK, ERRORS = 1.2, 10.0
 
 
 @lru_cache(1)
@@ -108,13 +110,25 @@ def _mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, owner: np.ndarray
     return share, np.add.reduceat(n * np.log(np.maximum(np.einsum("ij,ij->i", p, share[owner]), 1e-30)), starts)
 
 
+def _expected(p: np.ndarray) -> tuple[float, float]:
+    """Mean and standard deviation of the log-likelihood of an n-gram drawn from p."""
+    log_p = np.log(p)
+    mean = (p * log_p).sum()
+    return mean, np.sqrt(max((p * log_p * log_p).sum() - mean * mean, 0))
+
+
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
     """Language, score and the shares of the chosen set of each text."""
+    return predict_fits(model, texts, False)[:3]
+
+
+def predict_fits(model: Model, texts: list[str], ask: bool = True) -> tuple[list[str], np.ndarray, list[dict[str, float]], np.ndarray]:
+    """As predict, and whether the chosen set explains the text about as well as texts of its own (False where it isn't asked for)."""
     k, size = len(model.languages), len(texts)
-    names, scores, shares = [UNKNOWN] * size, np.zeros(size), [{} for _ in texts]
+    names, scores, shares, fits = [UNKNOWN] * size, np.zeros(size), [{} for _ in texts], np.zeros(size, bool)
     buckets, owner = ngrams(texts)
     if not k or not len(buckets):
-        return names, scores, shares
+        return names, scores, shares, fits
     cells = np.bincount(owner << BITS | buckets, minlength=size << BITS)
     at = np.flatnonzero(cells)
     n, log_p = cells[at].astype(np.float64), model.log_p[at & ((1 << BITS) - 1)].astype(np.float64)
@@ -149,18 +163,27 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list
     gap = np.exp(np.clip((single - single.max(1, keepdims=True)) / np.sqrt(grams)[:, None], -50, 0))
     sure = 1 / gap.sum(1)
     choice = best.argmax(1)
+    if ask:
+        found = (np.add.reduceat(n * np.log(np.maximum(np.einsum("ij,ij->i", p, best[owner]), 1e-30)), starts) + base) / grams
+        whole = np.exp(model.log_p.astype(np.float64))
+        alone = np.array([_expected(whole[:, j]) for j in range(k)])
+        mixed = (best > 0).sum(1) > 1
+        mean, spread = np.where(mixed[:, None], 0.0, alone[choice]).T
+        for i in np.flatnonzero(mixed).tolist():
+            mean[i], spread[i] = _expected(whole @ best[i])
+        fits[docs] = found >= mean - SLACK - ERRORS * spread / np.sqrt(grams)
     for i, doc in enumerate(docs.tolist()):
         names[doc], scores[doc] = model.languages[choice[i]], best[i, choice[i]] * sure[i]
         shares[doc] = {model.languages[j]: float(best[i, j]) for j in np.flatnonzero(best[i] > 0)}
-    return names, scores, shares
+    return names, scores, shares, fits
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """df with lang_pred, score and shares (a map of the languages found), their names after prefix, in place of columns of these names.
+def identify(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "", fits: bool = False) -> DataFrame:
+    """df with lang_pred, score and shares (a map of the languages found), and fits if asked for, their names after prefix, in place of columns of these names.
 
     The model, of bounded size, is broadcast.
     """
-    names = [prefix + c for c in ("lang_pred", "score", "shares")]
+    names = [prefix + c for c in ("lang_pred", "score", "shares", *["fits"] * fits)]
     source, columns = fresh(df, "__text"), [c for c in df.columns if c not in names]
     df = df.select(*columns, df[text_col].alias(source))
     ship(df.sparkSession)
@@ -171,18 +194,18 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", prefix: str =
             for part in slices(batch, source, SLICE):
                 for i in range(0, part.num_rows, 512):
                     few = part.slice(i, 512)
-                    langs, scores, shares = predict(shared.value, texts_of(few, source))
+                    langs, scores, shares, fit = predict_fits(shared.value, texts_of(few, source), fits)
                     found = pa.array([[*s.items()] for s in shares], pa.map_(pa.string(), pa.float64()))
-                    yield pa.RecordBatch.from_arrays([*few.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), found], [*columns, *names])
+                    yield pa.RecordBatch.from_arrays([*few.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), found, *[pa.array(fit)] * fits], [*columns, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return map_arrow(df, run, f"{fields}{', ' if fields else ''}`{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>")
+    return map_arrow(df, run, f"{fields}{', ' if fields else ''}`{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>{f', `{names[3]}` boolean' if fits else ''}")
 
 
 def known_only(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """df without the rows of unknown language or of a score below least."""
+    """df without the rows of unknown language, of a score below least, or that no set of the languages fits."""
     prefix = "__"
     while any(c.startswith(prefix) for c in df.columns):
         prefix += "_"
-    rows = identify(df, model, text_col, prefix)
-    return rows.where((F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= least)).select(*df.columns)
+    rows = identify(df, model, text_col, prefix, True)
+    return rows.where((F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= least) & F.col(f"{prefix}fits")).select(*df.columns)

@@ -249,6 +249,22 @@ def test_mixtures(spark):
     assert langid.predict(empty, ["abc"])[0] == ["und"] and langid.known_only(df.where("false"), model).count() == 0
 
 
+def test_languages_not_learned_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(8)
+    strange = [
+        "В начале было слово и слово было у бога и все через него начало быть что начало быть в нем была жизнь",
+        "Suomen kieli on kaunis ja sitä puhutaan pohjoisessa jossa talvet ovat pitkiä ja kylmiä mutta kesät lyhyitä ja valoisia",
+        "今天天气很好我们去公园散步吧看看花和树木然后回家吃饭休息", "Η ελληνική γλώσσα είναι μία από τις αρχαιότερες γλώσσες του κόσμου",
+        "".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(600)),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*strange, *(t * 10 for t in strange)])], "doc_id long, text string")
+    model = langid.learn(docs)
+    assert langid.known_only(rows, model).count() == 0
+    with_letters = docs.where("text rlike '[a-zA-Z]'")
+    assert langid.known_only(with_letters, model).count() == with_letters.count()
+
+
 # Pages
 
 
