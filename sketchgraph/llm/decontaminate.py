@@ -7,12 +7,15 @@ joined to those of the benchmark, so an item is met with other numbers, names an
 document and an item at one distance must then agree on their slots: a value of the item always stands for the
 same value of the document. An item leaks if windows of consistent distances cover `COVERAGE` of its windows.
 
+A capitalised word that begins a sentence may be a name or not. So each text is read twice, with these words as plain
+ones and as names; a place of an item is covered if it is met in either reading.
+
 Only windows that may be the benchmark's leave a worker: a bitmap of fixed size, whatever the benchmark's, sorts out
 the others, and the join on the hash is exact.
 
 Inputs: null and empty texts, and items without a word, match nothing; a text of fewer than WINDOW template words is one
-window of its own length; rows with equal id and text are one document; repeated items are items of their own; windows
-with fewer than `LITERALS` plain words say too little and are left out (unless the text has no other); other
+window of its own length; rows with equal id and text are one document; repeated items are items of their own; an item's windows
+with fewer than `LITERALS` plain words say too little and are left out (unless the item has no other); other
 columns are not read; an empty table on either side gives an empty result. Texts are read whole.
 """
 
@@ -71,8 +74,47 @@ class _Words(dict):
 _words = _Words()
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window that counts: the number of its text, its place, its hash (uint64) and the values of its slots (uint64, 0 for a plain word)."""
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.append(True, x[1:] != x[:-1])
+
+
+class _Sequence:
+    """The template words of texts in one reading. names: a capitalised word that begins a sentence is a name, too."""
+
+    def __init__(self, kinds: np.ndarray, codes: np.ndarray, owner: np.ndarray, starts: np.ndarray, names: bool):
+        new_text = _changes(owner)
+        number_before = np.append(False, kinds[:-1] == NUMBER) & ~new_text
+        title = (kinds == TITLE) & (names | ~starts)
+        slot = np.where((kinds == NUMBER) | (kinds == UNIT) & number_before | title, kinds, PLAIN)
+        head = _changes(slot) | (slot == PLAIN) | new_text | title & starts
+        self.names, self.first, self.of_word = names, np.flatnonzero(head), np.cumsum(head) - 1
+        # The value of a slot of several words depends on their order.
+        step = (np.arange(len(codes)) - self.first[self.of_word] + 1).astype(np.uint64)
+        values = np.add.reduceat(codes * step, self.first)
+        slot, self.codes, self.owner = slot[self.first], codes[self.first], owner[self.first]
+        for kind, code in SLOT.items():
+            self.codes[slot == kind] = code
+        self.values = np.where(slot == PLAIN, np.uint64(0), values | np.uint64(1))
+        begin = np.flatnonzero(_changes(self.owner))
+        length = np.diff(np.append(begin, len(self.owner)))
+        self.begin, self.length = np.repeat(begin, length), np.repeat(length, length)
+        self.place = np.arange(len(self.owner)) - self.begin
+
+    def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
+        out = np.full(len(at), width + 16 * self.names, np.uint64)
+        for i in range(width):
+            out += self.codes[at + i] * _P[i]
+            out ^= out >> np.uint64(31)
+        return out * _P[0]
+
+    def slots(self, at: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(at), WINDOW), np.uint64)
+        for i in range(width):
+            out[:, i] = self.values[at + i]
+        return out
+
+
+def _readings(texts: list[str]) -> list[_Sequence]:
     got = [_TOKEN.findall(t) for t in texts]
     sizes = np.fromiter(map(len, got), np.int64, len(got))
     codes = np.fromiter(map(_words.__getitem__, chain.from_iterable(got)), np.uint64, int(sizes.sum()))
@@ -80,74 +122,88 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     kinds, codes = (codes & np.uint64(7)).astype(np.int8), codes & ~np.uint64(7)
     word = kinds != _ENDER
     if not word.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.uint64)
-    changes = lambda x: np.append(True, x[1:] != x[:-1])
-    starts = (np.append(True, ~word[:-1]) | changes(owner))[word]
-    kinds, codes, owner = kinds[word], codes[word], owner[word]
-    new_text = changes(owner)
-    number_before = np.append(False, kinds[:-1] == NUMBER) & ~new_text
-    slot = np.where((kinds == NUMBER) | (kinds == UNIT) & number_before | (kinds == TITLE) & ~starts, kinds, PLAIN)
-    head = changes(slot) | (slot == PLAIN) | new_text
-    first = np.flatnonzero(head)
-    # The value of a slot of several words depends on their order.
-    step = (np.arange(len(codes)) - first[np.cumsum(head) - 1] + 1).astype(np.uint64)
-    values = np.add.reduceat(codes * step, first)
-    slot, codes, owner = slot[first], codes[first], owner[first]
-    for kind, code in SLOT.items():
-        codes[slot == kind] = code
-    values = np.where(slot == PLAIN, np.uint64(0), values | np.uint64(1))
-    begin = np.flatnonzero(changes(owner))
-    length = np.diff(np.append(begin, len(owner)))
-    width = np.repeat(np.minimum(length, WINDOW), length)
-    place = np.arange(len(owner)) - np.repeat(begin, length)
-    at = np.flatnonzero(place <= np.repeat(length, length) - width)  # where windows begin
-    hashes, slots = width[at].astype(np.uint64), np.zeros((len(at), WINDOW), np.uint64)
-    plain = np.zeros(len(at), np.int64)
-    for i in range(WINDOW):
-        there = np.flatnonzero(width[at] > i)
-        mine = at[there] + i
-        hashes[there] += codes[mine] * _P[i]
-        hashes ^= hashes >> np.uint64(31)
-        slots[there, i] = values[mine]
-        plain[there] += values[mine] == 0
-    hashes *= _P[0]
-    counts = plain >= np.minimum(LITERALS, width[at])
-    of = owner[at]
-    counts |= ~(np.bincount(of, counts, len(texts)) > 0)[of]  # texts that have no other windows
-    return of[counts], place[at][counts], hashes[counts], slots[counts]
-
-
-def _rows(df: DataFrame, id_col: str, text_col: str, seen: np.ndarray | None) -> DataFrame:
-    """id, row (hash of the text), at, window and slots of each window; n: windows of the text. seen: bitmap of windows that matter."""
+        return []
+    starts = (np.append(True, ~word[:-1]) | _changes(owner))[word]
+    return [_Sequence(kinds[word], codes[word], owner[word], starts, names) for names in (False, True)]
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    """owner, at, place, names, width, hash and slots of windows."""
+    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.uint64))
+    return tuple(np.concatenate(x) for x in zip(empty, *parts))
+
+
+def windows(texts: list[str], seen: np.ndarray, within: tuple[int, ...]) -> tuple:
+    """The windows of documents that seen, a bitmap, has: those of WINDOW words or of a whole shorter text, and those of the widths within."""
+    parts = []
+    for s in _readings(texts):
+        for width in range(1, WINDOW + 1):
+            long_enough = s.length >= width if width in (WINDOW, *within) else s.length == width
+            at = np.flatnonzero(long_enough & (s.place <= s.length - width))
+            if not len(at):
+                continue
+            hashes = s.hashes(at, width)
+            keep = np.flatnonzero(seen[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
+            at, hashes = at[keep], hashes[keep]
+            parts.append((s.owner[at], s.place[at], s.place[at], np.full(len(at), s.names), np.full(len(at), width), hashes, s.slots(at, width)))
+    return _joined(parts)
+
+
+def item_windows(texts: list[str]) -> tuple:
+    """The windows of items that count, at their place in the plain reading; those of the reading with names stand for the places that they begin at."""
+    parts = []
+    if readings := _readings(texts):
+        s, named = readings
+        at = np.flatnonzero(s.place <= s.length - np.minimum(s.length, WINDOW))
+        enough = lambda q, at, width: (q.slots(at, width)[:, :width] == 0).sum(1) >= min(LITERALS, width)
+        counts = np.zeros(len(at), bool)
+        for width in range(1, WINDOW + 1):
+            mine = np.minimum(s.length[at], WINDOW) == width
+            counts[mine] = enough(s, at[mine], width)
+        bare = ~(np.bincount(s.owner[at], counts, len(texts)) > 0)  # texts that have no other windows
+        at = at[counts | bare[s.owner[at]]]
+        for q in (s, named):
+            mine = q.of_word[s.first[at]]
+            mine = np.minimum(mine, q.begin[mine] + np.maximum(q.length[mine] - WINDOW, 0))
+            for width in range(1, WINDOW + 1):
+                pick = np.flatnonzero(np.minimum(q.length[mine], WINDOW) == width)
+                if q is named:
+                    pick = pick[enough(q, mine[pick], width) | bare[q.owner[mine[pick]]]]
+                to = mine[pick]
+                parts.append((s.owner[at[pick]], s.place[at[pick]], q.place[to], np.full(len(to), q.names), np.full(len(to), width), q.hashes(to, width), q.slots(to, width)))
+    return _joined(parts)
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str, seen: np.ndarray | None = None, within: tuple[int, ...] = ()) -> DataFrame:
+    """id, row (hash of the text), at, place (in the window's own reading), names (that reading), width, window and slots of each window; n: places of the text. seen: bitmap of windows that matter; without it, texts are items."""
     ship(df.sparkSession)
     shared = None if seen is None else df.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                owner, at, hashes, slots = windows(texts_of(part))
-                n = np.bincount(owner, minlength=part.num_rows)
-                if shared is not None:
-                    keep = np.flatnonzero(shared.value[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
-                    owner, at, hashes, slots = owner[keep], at[keep], hashes[keep], slots[keep]
+                texts = texts_of(part)
+                owner, at, place, names, width, hashes, slots = item_windows(texts) if shared is None else windows(texts, shared.value, within)
                 if len(owner):
+                    n = np.bincount(owner[~names], minlength=part.num_rows)
                     take, flat = pa.array(owner), slots.view(np.int64).ravel()
-                    arrays = [part.column(0).take(take), part.column(1).take(take), pa.array(at), pa.array(hashes.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WINDOW), pa.int32()), pa.array(flat)), pa.array(n[owner])]
-                    yield pa.RecordBatch.from_arrays(arrays, ["id", "row", "at", "window", "slots", "n"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WINDOW), pa.int32()), pa.array(flat))
+                    arrays = [part.column(0).take(take), part.column(1).take(take), *map(pa.array, (at, place, names, width)), pa.array(hashes.view(np.int64)), lists, pa.array(n[owner])]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", "row", "at", "place", "names", "width", "window", "slots", "n"])
 
     texts = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("row"), df[text_col].alias("text"))
-    return map_arrow(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, row long, at long, window long, slots array<long>, n long")
+    return map_arrow(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, row long, at long, place long, names boolean, width long, window long, slots array<long>, n long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, row (xxhash64 of the text), item and coverage of each document that holds an item."""
-    items = _rows(benchmark, item_col, item_text_col, None).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
+    items = _rows(benchmark, item_col, item_text_col).select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("place").alias("item_place"), F.col("names").alias("reading"), "width", "window", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
     items = written(items.unionAll(_opening(benchmark, item_col, item_text_col)), "items")
     seen = np.zeros(1 << BITMAP_BITS, bool)
     seen[items.select(F.shiftrightunsigned("window", 64 - BITMAP_BITS).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
-    met = _rows(docs, id_col, text_col, seen).join(items, "window")
+    met = _rows(docs, id_col, text_col, seen).drop("width").join(items, "window")
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != 0)
-    met = met.groupBy("id", "row", "item", "item_n", (F.col("at") - F.col("item_at")).alias("distance"))
+    met = met.groupBy("id", "row", "item", "item_n", "reading", (F.col("place") - F.col("item_place")).alias("distance"))
     met = met.agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     met = met.where(consistent).groupBy("id", "row", "item", "item_n").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
@@ -157,9 +213,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def _opening(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """The first window of each item as it is within a sentence, where its first word is a name to the template."""
     again = benchmark.select(F.col(item_col).alias("__item"), F.concat(F.lit("x "), F.col(text_col)).alias("__text"))
-    whole = _rows(benchmark, item_col, text_col, None).groupBy(F.col("id").alias("item")).agg(F.max("n").alias("item_n"))
-    second = _rows(again, "__item", "__text", None).where("at = 1").select(F.col("id").alias("item"), F.lit(0).cast("long").alias("item_at"), "window", F.col("slots").alias("item_slots"))
-    return second.join(whole, "item").select("item", "item_at", "window", "item_slots", "item_n")
+    whole = _rows(benchmark, item_col, text_col).groupBy(F.col("id").alias("item")).agg(F.max("n").alias("item_n"))
+    zero = F.lit(0).cast("long")
+    second = _rows(again, "__item", "__text").where("at = 1 and not names").select(F.col("id").alias("item"), zero.alias("item_at"), zero.alias("item_place"), F.col("names").alias("reading"), "width", "window", F.col("slots").alias("item_slots"))
+    return second.join(whole, "item").select("item", "item_at", "item_place", "reading", "width", "window", "item_slots", "item_n")
 
 
 def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -159,6 +159,15 @@ def test_decontamination(spark):
     assert decontaminate.drop_leaks(df, bench.where("false")).count() == len(docs) and decontaminate.flag_leaks(df.where("false"), bench).count() == 0
 
 
+def test_names_that_begin_sentences(spark):
+    text = "{} has 3 apples and 2 pears. {} gives her 4 more apples each day. How many apples does she have after one week?"
+    bench = spark.createDataFrame([(1, text.format("Anna", "Tom"))], "item_id long, text string")
+    other = text.replace("3", "8").replace("2", "5").replace("4", "9")
+    docs = [other.format("Bertha", "Carl"), "We know this. " + other.format("Bertha Miller", "Carl") + " Yes.", "so " + other.format("Bertha", "Carl"), text.format("Anna", "Tom"), text.replace("pears", "plums").replace("more", "new").replace("many", "few").format("A", "B")]
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    assert [r["items"] for r in decontaminate.flag_leaks(df, bench).orderBy("doc_id").collect()] == [[1]] * 4 + [[]]
+
+
 def test_decontamination_against_windows(spark, sf):
     """Verbatim passages: as many items as plain windows of five words find."""
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
