@@ -14,7 +14,7 @@ Only windows that may be the benchmark's leave a worker: a bitmap of fixed size,
 the others, and the join on the hash is exact.
 
 Inputs: null and empty texts, and items without a word, match nothing; a text of fewer than WINDOW template words is one
-window of its own length; rows with equal id and text are one document; repeated items are items of their own; an item's windows
+window of its own length, and one of `LEAST_WITHIN` to WINDOW - 1 words is met in longer documents, too; rows with equal id and text are one document; repeated items are items of their own; an item's windows
 with fewer than `LITERALS` plain words say too little and are left out (unless the item has no other); other
 columns are not read; an empty table on either side gives an empty result. Texts are read whole.
 """
@@ -35,6 +35,8 @@ from ..shipping import ship
 from ._common import map_arrow, slices, texts_of, written
 
 WINDOW, COVERAGE, LITERALS = 5, 0.8, 2
+#: Shorter items are met only as whole texts.
+LEAST_WITHIN = 3
 BITMAP_BITS = 24
 MAX_WORDS = 200_000
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
@@ -201,7 +203,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = written(items.unionAll(_opening(benchmark, item_col, item_text_col)), "items")
     seen = np.zeros(1 << BITMAP_BITS, bool)
     seen[items.select(F.shiftrightunsigned("window", 64 - BITMAP_BITS).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
-    met = _rows(docs, id_col, text_col, seen).drop("width").join(items, "window")
+    within = tuple(r["width"] for r in items.select("width").distinct().collect() if LEAST_WITHIN <= r["width"] < WINDOW)
+    met = _rows(docs, id_col, text_col, seen, within).drop("width").join(items, "window")
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != 0)
     met = met.groupBy("id", "row", "item", "item_n", "reading", (F.col("place") - F.col("item_place")).alias("distance"))
     met = met.agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))

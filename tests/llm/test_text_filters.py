@@ -168,6 +168,16 @@ def test_names_that_begin_sentences(spark):
     assert [r["items"] for r in decontaminate.flag_leaks(df, bench).orderBy("doc_id").collect()] == [[1]] * 4 + [[]]
 
 
+def test_short_items_and_items_of_placeholders(spark):
+    bench = spark.createDataFrame([(1, "What is 15 + 27?"), (2, "Name the largest planet"), (3, "met Anna 3 Tom 4 Bob 5 Carl 6 kg Dora 7 km")], "item_id long, text string")
+    docs = [
+        ("A long text about sums. What is 15 + 27? It is more than one thinks.", [1]), ("They ask to name the largest planet of all.", [2]), ("the largest of planets has a name", []),
+        ("some plain words go first and then we met Ada 9 Ben 8 Cid 7 Dan 6 kg Eva 5 km and others too", [3]), ("What is 3 + 4?", [1]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    assert [r["items"] for r in decontaminate.flag_leaks(df, bench).orderBy("doc_id").collect()] == [w for _, w in docs]
+
+
 def test_decontamination_against_windows(spark, sf):
     """Verbatim passages: as many items as plain windows of five words find."""
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
