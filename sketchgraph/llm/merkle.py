@@ -30,6 +30,8 @@ PARAGRAPH, SECTION = r"(?<=\n)", r"(?<=\n\n)"
 RANGES = 8
 #: Ranges at most, as their cuts are literals of the plan; larger tables have longer ranges, no fewer rows.
 MOST_RANGES = 20_000
+#: Whole numbers from here on aren't all doubles, as which quantiles come.
+EXACT = 1 << 53
 
 
 def tree(text: Column) -> Column:
@@ -87,13 +89,22 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     top = keys.agg(F.max("key")).head()[0]
     if top is None:
         return rows.select("id", "text", F.col("text").alias("next_text"))
-    cuts = sorted({*map(int, cuts)} - {top}) + [top]
-    width = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    cuts = sorted({c for c in map(int, cuts) if c < top}) + [top]
     literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    lasts, nested = literal([g[-1] for g in groups]), F.array(*map(literal, groups))
     below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("key")))
-    rows = rows.withColumn("group", below(lasts)).withColumn("range", F.col("group") * width + below(F.get(nested, F.col("group"))))
+
+    def ranges(cuts: list[int]) -> tuple[Column, Column, Column]:
+        """Group, range and the cuts of the group of a key."""
+        width = max(1, int(len(cuts) ** 0.5))
+        groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+        group, nested = below(literal([g[-1] for g in groups])), F.array(*map(literal, groups))
+        return group, F.col("group") * width + below(F.get(nested, F.col("group"))), nested
+
+    if any(abs(c) >= EXACT for c in cuts):  # a cut need not be an id that occurs: its range ends at the last one that does
+        group, place, _ = ranges(cuts)
+        cuts = sorted(r["last"] for r in keys.withColumn("group", group).groupBy(place.alias("range")).agg(F.max("key").alias("last")).collect())
+    group, place, nested = ranges(cuts)
+    rows = rows.withColumn("group", group).withColumn("range", place)
     at_cut = F.array_contains(F.get(nested, F.col("group")), F.col("key"))
     after = F.when(F.col("key") == top, F.lit(0)).otherwise(F.col("range") + 1)
     places = F.when(at_cut, F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(after.alias("range"), F.lit(True).alias("guest"))))

@@ -128,6 +128,14 @@ def test_edit_report_edge_cases(spark):
     assert merkle.edit_report(odd.where("false")).count() == 0
 
 
+def test_ids_that_are_no_doubles(spark):
+    r = random.Random(9)
+    ids = sorted({r.getrandbits(63) - (1 << 62) for _ in range(300)} | {(1 << 60) + i for i in range(300)}, reverse=True)
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    got = {x["id"]: x["next_text"] for x in merkle.with_next(df).collect()}
+    assert got == {a: f"text {b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
 def test_differing_paragraphs(spark):
     df = spark.createDataFrame([("one\ntwo\n\nthree\nfour", "one\n2\n\nthree\nfour\nfive")], "a string, b string")
     trees = merkle.fingerprints(df, {"a": "x", "b": "y"})
