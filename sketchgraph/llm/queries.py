@@ -81,21 +81,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_decontamination, op4_token_counts, op5_simhash_near_dedup, op6_line_dedup, op7_language_id, op8_binary_records, op9_document_fingerprints, op10_html_extraction)}
 
-#: The digits, white space and limits are those of line_dedup; a hash there is the string itself here.
+#: The digits, white space and fractions are those of line_dedup; a hash there is the string itself here.
 LINE_DEDUP_SQL = """
 with docs as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
-lines as (select doc_id, text, unnest(lines) as line, unnest(range(len(lines))) as line_no from docs),
+lines as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as line_no from docs),
+words as (select doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda t: t <> '') as w from lines),
 tokens as (
-    select doc_id, text, line_no, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda t: t <> ''), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as t
-    from lines),
-keyed as (
-    select doc_id, text, line_no, unnest(case
-        when len(t) < 5 then []
-        when len(t) // 2 < 10 then [concat('all ', array_to_string(t, ' '))]
-        else [concat('first ', len(t), ' ', array_to_string(t[1:len(t) // 2], ' ')), concat('last ', len(t), ' ', array_to_string(t[len(t) // 2 + 1:], ' '))] end) as key
-    from tokens),
-recurring as (select key, min(doc_id) as keeper from keyed group by key having min(doc_id) <> max(doc_id)),
-drops as (select distinct doc_id, line_no from keyed join recurring using (key) where doc_id <> keeper),
+    select doc_id, line_no, case when 2 * len(list_filter(w, lambda t: regexp_matches(t, '[0-9]'))) > len(w) then w else list_transform(w, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) end as t
+    from words where len(w) > 0),
+firsts as (select t, min({'d': doc_id, 'l': line_no}) as first, max(doc_id) as last from tokens group by t),
+forms as (select t, first, last, list_transform(range(least(len(t), 16)), lambda i: array_to_string(t[i * len(t) // least(len(t), 16) + 1 : (i + 1) * len(t) // least(len(t), 16)], ' ')) as p from firsts),
+numbered as (select t, first, p, len(p) // 5 + 1 as m, unnest(range(len(p) // 5 + 1)) as i from forms where len(p) >= 5),
+runs as (select t, first, p, concat_ws(' ', len(t), i, array_to_string(t[1:3], ' '), '|', array_to_string(p[i * len(p) // m + 1 : (i + 1) * len(p) // m], ' ')) as run from numbered),
+founders as (select run, min(first) as keeper, arg_min(p, first) as q, max(first.d) as last from runs group by run having min(first).d <> max(first.d)),
+alike as (
+    select t, keeper from runs join founders using (run)
+    where first.d <> keeper.d and len(p) = len(q) and len(list_filter(list_zip(p, q), lambda x: x[1] <> x[2])) <= len(p) // 5),
+recurring as (select t, min(keeper).d as keeper from (select t, first as keeper from forms where first.d <> last union all select * from alike) group by t),
+drops as (select distinct doc_id, line_no from tokens join recurring using (t) where doc_id <> keeper),
 dropped as (select doc_id, list(line_no) as gone from drops group by doc_id)
 select doc_id,
     case when gone is null then text else array_to_string(list_filter(lines, lambda l, i: not list_contains(gone, i - 1)), chr(10)) end as text,

@@ -14,24 +14,44 @@ from sketchgraph.llm import decontaminate, gbdt, html_extract, langid, line_dedu
 # Line dedup
 
 
-def brute_templates(line):
-    tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\r\f\v]+", line) if t]
-    n, half = len(tokens), len(tokens) // 2
-    if n < line_dedup.MIN_TOKENS:
-        return []
-    if half < line_dedup.MIN_CONSTANT:
-        return [(n, *tokens)]
-    return [(n, 1, *tokens[:half]), (n, 2, *tokens[half:])]
+def brute_form(line):
+    words = [t for t in re.split(r"[ \t\r\f\v]+", line) if t]
+    fields = [bool(re.search("[0-9]", t)) for t in words]
+    return tuple(words if 2 * sum(fields) > len(words) else ["<*>" if x else t for t, x in zip(words, fields)])
+
+
+def brute_parts(form):
+    n, m = len(form), min(len(form), line_dedup.PARTS)
+    return [form[n * i // m : n * (i + 1) // m] for i in range(m)]
 
 
 def brute_dedup(docs):
-    at = {}
+    """Every line is compared with the first line of each run of parts that it has."""
+    first, of, founder, keeper = {}, {}, {}, {}
     for d, text in docs:
-        for line in (text or "").split("\n"):
-            for t in brute_templates(line):
-                at.setdefault(t, set()).add(d)
-    drop = lambda d, line: any(len(at[t]) > 1 and min(at[t]) != d for t in brute_templates(line))
-    return {d: None if text is None else "\n".join(x for x in text.split("\n") if not drop(d, x)) for d, text in docs}
+        for i, line in enumerate((text or "").split("\n")):
+            if form := brute_form(line):
+                of.setdefault(form, set()).add(d)
+                first[form] = min(first.get(form, (d, i)), (d, i))
+
+    def runs(form):
+        p = brute_parts(form)
+        n = len(p) // 5 + 1
+        return [(len(form), form[:3], i, *p[len(p) * i // n : len(p) * (i + 1) // n]) for i in range(n)] if n > 1 else []
+
+    for form in first:
+        for run in runs(form):
+            founder[run] = min(founder.get(run, (first[form], form)), (first[form], form))
+    for form, own in of.items():
+        found = [first[form]] if len(own) > 1 else []
+        for run in runs(form):
+            at, other = founder[run]
+            if at[0] != first[form][0] and sum(a != b for a, b in zip(brute_parts(form), brute_parts(other))) <= len(brute_parts(form)) // 5:
+                found.append(at)
+        if found:
+            keeper[form] = min(found)[0]
+    gone = lambda d, line: keeper.get(brute_form(line), d) != d
+    return {d: None if text is None else "\n".join(x for x in text.split("\n") if not gone(d, x)) for d, text in docs}
 
 
 def test_line_dedup(spark):
@@ -39,39 +59,76 @@ def test_line_dedup(spark):
     words = [f"w{c}" for c in "abcdefghijkl"]
     passage = lambda n: " ".join(r.choice(words) for _ in range(n))
     shared = [passage(n) for n in (3, 5, 8, 12, 60)] + ["Page 3 of 10 in all", "", "  "]
+    few = lambda n: " ".join(["the"] * 3 + [r.choice("abc") for _ in range(n)])  # noqa: E731  many lines of one leaf that share runs
+
+    def changed(line):
+        t = line.split(" ")
+        for _ in range(r.randint(1, 3)):
+            t[r.randrange(len(t))] = r.choice(["x", "y", "7"])
+        return " ".join(t)
+
     docs = []
-    for i in range(60):
-        lines = [passage(r.randint(1, 40)) for _ in range(r.randint(0, 6))] + r.sample(shared, r.randint(0, 4))
+    for i in range(80):
+        lines = [passage(r.randint(1, 40)) for _ in range(r.randint(0, 6))] + r.sample(shared, r.randint(0, 4)) + [changed(r.choice(shared[:5])) for _ in range(2)] + [few(r.choice((3, 9, 17, 30)))]
         r.shuffle(lines)
         docs.append((i, "\n".join(lines)))
-    docs += [(100, docs[3][1]), (101, docs[3][1]), (102, "Page 7 of 12 in all\nmine alone it is said"), (103, " ".join(["changed"] + shared[4].split()[1:])), (104, None), (105, ""), (106, "\n\n")]
-    long = shared[4].split()
-    docs.append((107, " ".join(long[:55] + ["other"] * 5)))  # the first half is that of the passage
+    docs += [(100, docs[3][1]), (101, docs[3][1]), (102, "Page 7 of 12 in all\nmine alone it is said"), (103, " ".join(shared[4].split()[:-1] + ["changed"])), (104, None), (105, ""), (106, "\n\n")]
     got = {x["doc_id"]: x["text"] for x in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = brute_dedup(docs)
     assert got == want
-    assert got[107] == got[103] == ""
-    assert sum(shared[4] in (t or "") for t in got.values()) == 1
+    assert got[102] == "mine alone it is said" and got[103] == ""
+    assert sum(shared[4] in (t or "") for t in got.values()) <= 1
+
+
+def test_planted_templates(spark):
+    """Lines of templates with names and numbers filled in go from all documents but one; lines that no other document has in any form stay."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    name = lambda: r.choice(vocabulary).capitalize()
+    filled = [
+        lambda: f"This entry was posted in {name()} by {name()} on March {r.randint(1, 31)}, {r.randint(1990, 2024)} at noon.", lambda: f"Subscribe to the newsletter of {name()} and never miss an offer again", lambda: "All rights reserved.",
+        lambda: f"Page {r.randint(1, 99)}", lambda: f"Copyright (c) {r.randint(1990, 2024)} {name()} and others, see the notice below", lambda: f"You are here: home section {name()} archive", lambda: f"Share this page with {name()} now",
+        lambda: f"Please read the terms of use of {name()} with care before you go on, as {name()} may change them at any time and without a notice to those who have agreed to them before, in whole or in part, {r.randint(1, 9)} times a year or more",
+    ]
+    docs, planted, own = [], {}, {}
+    for d in range(120):
+        lines = [" ".join(r.choice(vocabulary) for _ in range(r.randint(4, 60))) + "." for _ in range(r.randint(2, 8))]
+        mine = [f() for f in r.sample(filled, 3)]
+        planted[d], own[d] = mine, lines
+        every = lines + mine
+        r.shuffle(every)
+        docs.append((d, "\n".join(every)))
+    got = {x["doc_id"]: set(x["text"].split("\n")) for x in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = sum(x in got[d] for d in got for x in planted[d]) - len(filled)
+    lost = sum(x not in got[d] for d in got for x in own[d])
+    gone = sum(map(len, planted.values())) - len(filled) - left
+    assert lost == 0 and gone / (gone + left) > 0.95
+    alone = [(d, "\n".join(own[d])) for d in own]
+    assert {x["doc_id"]: x["text"] for x in line_dedup.drop_recurring_lines(spark.createDataFrame(alone, "doc_id long, text string")).collect()} == dict(alone)
 
 
 def test_line_dedup_edge_cases(spark):
-    schema = "doc_id long, text string, __drop string, `__text` int, n_chars long"
+    schema = "doc_id long, text string, __drop string, `__text` int, n_chars long, form int, leaf int, id int, first int"
     line = "these five words and more\nown line"
-    df = spark.createDataFrame([(1, line, "d", 5, 1), (1, line, "d", 5, 1), (None, line, "n", 6, 1), (2, "x\n" + line, "e", 7, 1)], schema)
+    rest = (1, 2, 3, 4, 5)
+    df = spark.createDataFrame([(1, line, "d", 5, *rest), (1, line, "d", 5, *rest), (None, line, "n", 6, *rest), (2, "x\n" + line, "e", 7, *rest)], schema)
     out = line_dedup.drop_recurring_lines(df, dropped_col="n")
     assert out.columns == [*df.columns, "n"]
-    got = sorted([(r["doc_id"], r["text"], r["__drop"], r["__text"], r["n"]) for r in out.collect()], key=str)
-    assert got == sorted([(1, "own line", "d", 5, 1), (1, "own line", "d", 5, 1), (None, line, "n", 6, 0), (2, "x\nown line", "e", 7, 1)], key=str)
+    got = sorted([(r["doc_id"], r["text"], r["__drop"], r["__text"], r["form"], r["n"]) for r in out.collect()], key=str)
+    assert got == sorted([(1, "", "d", 5, 2, 2), (1, "", "d", 5, 2, 2), (None, line, "n", 6, 2, 0), (2, "x", "e", 7, 2, 2)], key=str)
     assert line_dedup.drop_recurring_lines(spark.createDataFrame([], schema)).count() == 0
+    long = " ".join(f"w{'abcdefghij'[i % 7]}{'klmnopqrst'[i % 10]}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, "mine\n" + long[:-3] + "other"), (3, "x" * 1_000_000), (4, "x" * 1_000_000 + "\n" + "y\n" * 50_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(df).collect()}
+    assert got == {1: long, 2: "mine", 3: "x" * 1_000_000, 4: "y\n" * 50_000}
 
 
-def test_short_lines(spark):
-    docs = [(1, "All rights reserved.\nPage 3\n12\n\nmine"), (2, "All rights reserved.\nPage 4\n13\n\n12 7"), (3, "x\n12\n \nyours")]
+def test_short_lines_and_fields(spark):
+    docs = [(1, "All rights reserved.\nPage 3\n12\n\nmine\n4 5 x"), (2, "All rights reserved.\nPage 4\n13\n\n12 7\n4 6 x"), (3, "x\n12\n \nyours\n4 6 x")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(df, min_tokens=1).collect()}
-    assert got == {1: docs[0][1], 2: "13\n\n12 7", 3: "x\n \nyours"}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(df).collect()}
+    assert got == {1: docs[0][1], 2: "13\n\n12 7\n4 6 x", 3: "x\n \nyours"}
     assert corpus_pipeline.dedup_lines(spark, df.selectExpr("*", "'en' lang", "'s' source", "0L n_chars"), "").where("text like '%rights%'").count() == 1
-    assert [r["text"] for r in line_dedup.drop_recurring_lines(df).orderBy("doc_id").collect()] == [t for _, t in docs]
 
 
 def test_line_dedup_against_sql(spark, sf):
