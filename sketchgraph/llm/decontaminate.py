@@ -5,7 +5,8 @@ that for units, a capitalised word within a sentence that for names; neighbourin
 other words are taken in lower case and punctuation is left out. Windows of `WINDOW` template words are hashed and
 joined to those of the benchmark, so an item is met with other numbers, names and units in it too. The windows of a
 document and an item at one distance must then agree on their slots: a value of the item always stands for the
-same value of the document. An item leaks if windows of consistent distances cover `COVERAGE` of its windows.
+same value of the document, and two values for two. Distances that are no further apart than the item is long are
+put together, those of most windows first, as far as their slots agree. An item leaks if they cover `COVERAGE` of its windows.
 
 A capitalised word that begins a sentence may be a name or not. So each text is read twice, with these words as plain
 ones and as names; a place of an item is covered if it is met in either reading.
@@ -14,9 +15,9 @@ Only windows that may be the benchmark's leave a worker: a bitmap of fixed size,
 the others, and the join on the hash is exact.
 
 Inputs: null and empty texts, and items without a word, match nothing; a text of fewer than WINDOW template words is one
-window of its own length, and one of `LEAST_WITHIN` to WINDOW - 1 words is met in longer documents, too; rows with equal id and text are one document; repeated items are items of their own; an item's windows
-with fewer than `LITERALS` plain words say too little and are left out (unless the item has no other); other
-columns are not read; an empty table on either side gives an empty result. Texts are read whole.
+window of its own length, and one of `LEAST_WITHIN` to WINDOW - 1 words is met in longer documents, too; rows with equal
+id and text are one document; repeated items are items of their own; other columns are not read; an empty table on either
+side gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,25 +29,38 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ._common import map_arrow, slices, texts_of, written
 
-WINDOW, COVERAGE, LITERALS = 5, 0.8, 2
+WINDOW, COVERAGE = 5, 0.8
 #: Shorter items are met only as whole texts.
 LEAST_WITHIN = 3
 BITMAP_BITS = 24
 MAX_WORDS = 200_000
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
-#: Fixed words for numbers and for measures.
-NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split())
-UNIT_WORDS = frozenset(
-    "mm cm m km meter meters metre metres kilometer kilometers inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons"
-    " ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years s min h percent cent cents dollar dollars euro euros usd eur"
-    " mph kmh degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons hz khz mhz ghz byte bytes kb mb gb".split()
+#: Fixed words for numbers, of English, German, French and Spanish: from 0 (articles left out) to 20, then tens, then powers of ten.
+COUNTS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty",
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig",
+    "zéro - deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize - - - vingt",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte",
 )
+TENS = ("thirty forty fifty sixty seventy eighty ninety", "dreißig vierzig fünfzig sechzig siebzig achtzig neunzig", "trente quarante cinquante soixante - - -", "treinta cuarenta cincuenta sesenta setenta ochenta noventa")
+POWERS = {"hundred": 100, "hundert": 100, "cent": 100, "cien": 100, "ciento": 100, "thousand": 1000, "tausend": 1000, "mille": 1000, "mil": 1000, "million": 10**6, "millions": 10**6, "millionen": 10**6, "millón": 10**6, "millones": 10**6, "billion": 10**9, "milliarde": 10**9, "milliarden": 10**9, "milliard": 10**9, "milliards": 10**9}
+NUMBER_WORDS = {w: n for words in COUNTS for n, w in enumerate(words.split())} | {w: 30 + 10 * n for words in TENS for n, w in enumerate(words.split())} | POWERS
+#: Fixed words for measures, of the same languages.
+UNIT_WORDS = frozenset(
+    "mm cm dm m km meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters inch inches foot feet yard yards mile miles"
+    " mg g kg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons tonne tonnes ml cl l liter liters litre litres gallon gallons"
+    " second seconds minute minutes hour hours day days week weeks month months year years s min h percent cents dollar dollars euro euros usd eur"
+    " mph kmh degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons hz khz mhz ghz byte bytes kb mb gb"
+    " metern kilometern zentimeter millimeter meile meilen zoll fuß gramm kilogramm kilo kilos pfund tonne tonnen litern sekunde sekunden minute minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent cent pfennig grad"
+    " mètre mètres kilomètre kilomètres centimètre centimètres millimètre millimètres mille milles pouce pouces pied pieds gramme grammes kilogramme kilogrammes livre livres seconde secondes heure heures jour jours semaine semaines mois an ans année années pour degré degrés"
+    " metro metros kilómetro kilómetros centímetro centímetros milímetro milímetros milla millas pulgada pulgadas pie pies gramo gramos kilogramo kilogramos libra libras tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años ciento céntimo céntimos dólar dólares grado grados".split()
+) - frozenset(("pour", "mille", "ciento"))
 PLAIN, NUMBER, TITLE, UNIT = range(4)
 _ENDER, _P = 4, [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 SLOT = {NUMBER: np.uint64(0x1111111111111110), TITLE: np.uint64(0x2222222222222220), UNIT: np.uint64(0x3333333333333330)}
@@ -56,16 +70,16 @@ class _Words(dict):
     """A word's 61-bit hash, above 3 bits for its kind."""
 
     def __missing__(self, word: str) -> int:
-        low = word.lower()
+        low = code = word.lower()
         if word in ".!?:\n":
             kind = _ENDER
         elif word[0].isdigit() or low in NUMBER_WORDS:
-            kind = NUMBER
+            kind, code = NUMBER, str(NUMBER_WORDS.get(low, low))
         elif low in UNIT_WORDS:
             kind = UNIT
         else:
             kind = TITLE if len(word) > 1 and word[0].isupper() and word[1:].islower() else PLAIN
-        raw = low.encode("utf-8", "replace")
+        raw = code.encode("utf-8", "replace")
         got = (((zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1] + b"#")) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) & ~7 | kind
         if len(self) > MAX_WORDS:
             self.clear()
@@ -152,25 +166,16 @@ def windows(texts: list[str], seen: np.ndarray, within: tuple[int, ...]) -> tupl
 
 
 def item_windows(texts: list[str]) -> tuple:
-    """The windows of items that count, at their place in the plain reading; those of the reading with names stand for the places that they begin at."""
+    """The windows of items, at their place in the plain reading; those of the reading with names stand for the places that they begin at."""
     parts = []
     if readings := _readings(texts):
-        s, named = readings
+        s = readings[0]
         at = np.flatnonzero(s.place <= s.length - np.minimum(s.length, WINDOW))
-        enough = lambda q, at, width: (q.slots(at, width)[:, :width] == 0).sum(1) >= min(LITERALS, width)
-        counts = np.zeros(len(at), bool)
-        for width in range(1, WINDOW + 1):
-            mine = np.minimum(s.length[at], WINDOW) == width
-            counts[mine] = enough(s, at[mine], width)
-        bare = ~(np.bincount(s.owner[at], counts, len(texts)) > 0)  # texts that have no other windows
-        at = at[counts | bare[s.owner[at]]]
-        for q in (s, named):
+        for q in readings:
             mine = q.of_word[s.first[at]]
             mine = np.minimum(mine, q.begin[mine] + np.maximum(q.length[mine] - WINDOW, 0))
             for width in range(1, WINDOW + 1):
                 pick = np.flatnonzero(np.minimum(q.length[mine], WINDOW) == width)
-                if q is named:
-                    pick = pick[enough(q, mine[pick], width) | bare[q.owner[mine[pick]]]]
                 to = mine[pick]
                 parts.append((s.owner[at[pick]], s.place[at[pick]], q.place[to], np.full(len(to), q.names), np.full(len(to), width), q.hashes(to, width), q.slots(to, width)))
     return _joined(parts)
@@ -207,10 +212,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     met = _rows(docs, id_col, text_col, seen, within).drop("width").join(items, "window")
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != 0)
     met = met.groupBy("id", "row", "item", "item_n", "reading", (F.col("place") - F.col("item_place")).alias("distance"))
-    met = met.agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    met = met.where(consistent).groupBy("id", "row", "item", "item_n").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    return met.select("id", "row", "item", (F.size("places") / F.col("item_n")).alias("coverage")).where(F.col("coverage") >= COVERAGE)
+    met = met.agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")).where(_one_to_one(F.col("pairs")))
+    # Distances no further apart than the item is long share a stretch.
+    stretch = F.floor(F.col("distance") / F.col("item_n"))
+    met = met.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    part = F.struct(F.size("places").alias("n"), (-F.col("distance")).alias("at"), "reading", "places", "pairs")
+    met = met.groupBy("id", "row", "item", "item_n", "stretch").agg(F.sort_array(F.collect_list(part), asc=False).alias("parts"))
+    met = met.select("id", "row", "item", (F.size(_together(F.col("parts"))) / F.col("item_n")).alias("coverage"))
+    return met.groupBy("id", "row", "item").agg(F.max("coverage").alias("coverage")).where(F.col("coverage") >= COVERAGE)
+
+
+def _one_to_one(pairs: Column) -> Column:
+    """Whether each value of an item has one value of the document, and the other way round."""
+    distinct = lambda c: F.size(F.array_distinct(F.transform(pairs, lambda x: x[c])))
+    return (F.size(pairs) == distinct("a")) & (F.size(pairs) == distinct("b"))
+
+
+def _together(parts: Column) -> Column:
+    """The places of the parts, in their order, whose slots agree with those taken before."""
+    def step(so_far: Column, x: Column) -> Column:
+        pairs = F.array_union(so_far["pairs"], x["pairs"])
+        return F.when(_one_to_one(pairs), F.struct(F.array_union(so_far["places"], x["places"]).alias("places"), pairs.alias("pairs"))).otherwise(so_far)
+
+    none = F.struct(F.array().cast("array<bigint>").alias("places"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("pairs"))
+    return F.aggregate(parts, none, step)["places"]
 
 
 def _opening(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
