@@ -6,12 +6,14 @@ hold. Trees fitted to pages that `sample_pages` makes up, whose right texts are
 element holds part of the article. The tree is then decoded as a whole: an element can only be kept inside kept
 ones, and the choice with the largest total odds is taken, so no choice contradicts an ancestor's or a descendant's.
 
-Elements that never show text (`UNSEEN`) are left out before that. Text in kept elements is decoded; white space within
-a block becomes one space, blocks are joined by one.
+Elements that never show text (`UNSEEN`) are left out before that. Text that stands in the body itself, in no other
+block, makes a block of its own up to the next one. Text in kept elements is decoded; white space within a block
+becomes one space, blocks are joined by one.
 
 Inputs: a null or empty page and one without an article have an empty text; broken mark-up is read as browsers would
 roughly do: an element that isn't closed ends with its parent, a paragraph with the next block, a comment or script
-with the page; repeated rows are extracted each on its own; other columns are not read; an empty table gives an
+with the page, the head with what can't stand in it; a body that isn't there is implied; a tag without an end is text. The
+work is linear in the length of a page, however deep or broken it is; repeated rows are extracted each on its own; other columns are not read; an empty table gives an
 empty result. Pages are read whole.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,11 +39,15 @@ PAGES, SEED = 900, 7
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
-UNSEEN = frozenset("head script style template noscript iframe object embed svg canvas math audio video textarea title select option datalist button input form dialog map".split()) | frozenset(("xmp", "noembed", "noframes"))
+UNSEEN = frozenset("head script style template noscript iframe object embed svg canvas math audio video textarea title select option datalist button input dialog map".split()) | frozenset(("xmp", "noembed", "noframes"))
 BLOCKS = frozenset(
-    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address nav header footer aside fieldset details summary hgroup center menu search".split()
+    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address nav header footer aside fieldset details summary hgroup center menu search form".split()
 )
-CLOSES_P = BLOCKS - frozenset("html body caption thead tbody tfoot tr td th summary".split()) | {"form", "hr"}
+CLOSES_P = BLOCKS - frozenset("html body caption thead tbody tfoot tr td th summary".split()) | {"hr"}
+#: Blocks that an inline end tag may end.
+OPEN = frozenset("p li h1 h2 h3 h4 h5 h6".split())
+#: What may stand in the head.
+IN_HEAD = frozenset("html head title meta link style script base noscript template basefont bgsound noframes".split())
 #: What an opening tag ends if it is open within the same list or table.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 #: Groups of words in attributes (class, id, role, aria-label and names of data attributes).
@@ -67,12 +74,10 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @lru_cache(20_000)
 def attribute_groups(raw: str) -> int:
-    """Bits of the GROUPS that words of the attributes belong to; bit 15 if the element is hidden."""
+    """Bits of the GROUPS that words of the attributes belong to."""
     out = 0
     for name, value in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            out |= 1 << 15
         if name in ("class", "id", "role", "aria-label", "itemprop") or name.startswith("data-"):
             words = _PARTS.findall(_CAMEL.sub(" ", value).lower()) + (_PARTS.findall(name[5:]) if name.startswith("data-") else [])
             for w in words:
@@ -90,30 +95,105 @@ class Tree:
         self.texts, self.owner, self.linked = [], [], []
 
 
+class _Open:
+    """The open elements of a page: of each its tag, the block it belongs to, whether its text is seen and whether it's a link. Finds the innermost of a kind without a walk."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, bool]] = [("html", 0, True, False)]
+        self.places: dict[str, list[int]] = {}  # depths by tag
+        self.blocks: list[int] = []
+        self.walls: list[int] = []  # blocks that inline end tags don't end
+
+    def push(self, tag: str, block: int, seen: bool, link: bool) -> None:
+        depth = len(self.stack)
+        self.places.setdefault(tag, []).append(depth)
+        if tag in BLOCKS:
+            self.blocks.append(depth)
+            if tag not in OPEN:
+                self.walls.append(depth)
+        self.stack.append((tag, block, seen, link))
+
+    def cut(self, depth: int) -> bool:
+        """Ends the elements from a depth on; whether there was a block among them."""
+        parted = bool(self.blocks) and self.blocks[-1] >= depth
+        for tag, *_ in self.stack[depth:]:
+            self.places[tag].pop()
+        del self.stack[depth:]
+        for depths in (self.blocks, self.walls):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+        return parted
+
+    def innermost(self, tags) -> int:
+        """Depth of the innermost of these tags, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def ended_by(self, tag: str) -> int:
+        """Depth of the outermost element that an opening tag ends, 0 if none."""
+        p = self.places.get("p")
+        if tag not in ENDS:
+            if tag not in CLOSES_P:
+                return 0
+            top = max(self.blocks[-1] if self.blocks else 0, self.innermost(("button",)))
+            return top if top and self.stack[top][0] == "p" else 0
+        ends, within = ENDS[tag]
+        limit, at = self.innermost(within), self.innermost(ends)
+        if at > limit:
+            return at
+        return p[bisect_right(p, limit)] if p and tag in CLOSES_P and p[-1] > limit else 0
+
+
 def parse(page: str) -> Tree:
-    out = Tree()
-    # Of each open element: its tag, the block it belongs to, whether its text is seen, whether it's a link.
-    stack: list[tuple[str, int, bool, bool]] = [("html", 0, True, False)]
-    at, size = 0, len(page)
-    texts, owner, linked = out.texts, out.owner, out.linked
+    out, tags = Tree(), _Open()
+    at, size, last = 0, len(page), page.rfind(">")
+    texts, owner, linked, stack = out.texts, out.owner, out.linked, tags.stack
+    body = bare = 0  # the block of the body, and the open block of text that stands in it directly
+
+    def element(tag: str, parent: int, groups: int) -> int:
+        out.parent.append(parent)
+        out.tag.append(tag)
+        out.groups.append(groups)
+        out.inputs.append(0)
+        return len(out.tag) - 1
+
+    def start_body(groups: int = 0) -> None:
+        nonlocal body
+        body = element("body", 0, groups)
+        tags.push("body", body, True, False)
 
     def text(raw: str) -> None:
+        nonlocal bare
         _, block, seen, link = stack[-1]
-        if seen and raw:
-            texts.append(html.unescape(raw) if "&" in raw else raw)
-            owner.append(block)
-            linked.append(link)
+        if not (seen or stack[-1][0] == "head") or not raw:
+            return
+        shown = not raw.isspace()
+        if shown and tags.places.get("head"):
+            tags.cut(tags.places["head"][0])
+            _, block, seen, link = stack[-1]
+        if not block and not body:
+            if not shown:
+                return
+            start_body()
+            _, block, seen, link = stack[-1]
+        if block == body or not block:
+            if not bare:
+                if not shown:
+                    return
+                bare = element("div", body, 0)
+            block = bare
+        texts.append(html.unescape(raw) if "&" in raw else raw)
+        owner.append(block)
+        linked.append(link)
 
     def close(depth: int) -> None:
-        """Ends the open elements from a depth on."""
-        parted = any(e[0] in BLOCKS for e in stack[depth:])
-        del stack[depth:]
-        if parted:
+        nonlocal bare
+        if tags.cut(depth):
+            bare = 0
             text(" ")
 
     while at < size:
         start = page.find("<", at)
-        if start < 0:
+        if start < 0 or start > last and not page.startswith("<!--", start):
             text(page[at:])
             break
         m = _TOKEN.match(page, start) or _LOOSE.match(page, start)
@@ -127,26 +207,22 @@ def parse(page: str) -> Tree:
             continue
         tag, raw = m[2].lower(), m[3]
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCKS and stack[depth][0] in BLOCKS and stack[depth][0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    break  # an inline end tag doesn't end blocks
-            else:
-                if tag == "br" or tag == "p":
-                    text(" ")
+            depth = tags.innermost((tag,))
+            if depth and tag not in ("body", "html") and (tag in BLOCKS or not tags.walls or tags.walls[-1] <= depth):
+                close(depth)
+            elif tag == "br" or tag == "p":
+                text(" ")
+            continue
+        if tags.places.get("head") and tag not in IN_HEAD:
+            tags.cut(tags.places["head"][0])
+        if tag == "body":
+            if not body:
+                start_body(attribute_groups(raw) if raw else 0)
             continue
-        if tag in CLOSES_P or tag in ENDS:
-            ends, within = ENDS.get(tag, ({"p"}, {"table", "button"}))
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if name in ends or name == "p" and tag in CLOSES_P:
-                    close(depth)
-                    if tag not in ENDS or name != "p":
-                        break
-                elif name in within or name in BLOCKS and tag not in ENDS:
-                    break
+        if not body and tag not in IN_HEAD:
+            start_body()
+        if depth := tags.ended_by(tag):
+            close(depth)
         _, block, seen, link = stack[-1]
         if tag in VOID:
             if tag == "input":
@@ -155,32 +231,29 @@ def parse(page: str) -> Tree:
                 text(" ")
             continue
         groups = attribute_groups(raw) if raw else 0
-        if tag in ("input", "button", "select", "textarea", "form"):
+        if tag in ("button", "select", "textarea", "form"):
             out.inputs[block] += 1
-        if tag in BLOCKS and tag not in ("html",):
+        if tag in BLOCKS and tag != "html":
             text(" ")
-            out.parent.append(block)
-            out.tag.append(tag)
-            out.groups.append(groups)
-            out.inputs.append(0)
-            block = len(out.tag) - 1
+            bare, block = 0, element(tag, block, groups)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if raw.endswith("/") and tag in ("svg", "path", "iframe"):
             continue
-        stack.append((tag, block, seen and tag not in UNSEEN and not groups >> 15 & 1, link or tag == "a"))
+        if tag != "html":
+            tags.push(tag, block, seen and tag not in UNSEEN, link or tag == "a")
     return out
 
 
-def _up(parent: np.ndarray, depth: np.ndarray, value: np.ndarray, how=np.add) -> np.ndarray:
-    """Values of subtrees."""
-    out = value.astype(np.float64)
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
-        how.at(out, parent[at], out[at])
-    return out
+def _subtrees(parent: list[int]) -> np.ndarray:
+    """The number of elements in each one's subtree, itself included; elements are in page order, and roots are their own parents."""
+    size = [1] * len(parent)
+    for i in range(len(parent) - 1, -1, -1):
+        if parent[i] != i:
+            size[parent[i]] += size[i]
+    return np.array(size, np.int64)
 
 
 def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,10 +285,16 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     stops = count(lambda x: x.count(".") + x.count("!") + x.count("?"))
     commas = count(lambda x: x.count(","))
     words = count(lambda x: x.count(" ") + 1 if x.strip() else 0)
-    up = lambda v: _up(parent, depth, v)
+    end = np.arange(n) + _subtrees(parent.tolist())
+
+    def up(value: np.ndarray) -> np.ndarray:
+        """Sums over subtrees, which are runs of elements."""
+        total = np.append(0.0, np.cumsum(value, dtype=np.float64))
+        return total[end] - total[:-1]
+
     all_chars, all_link, all_stops, all_commas, all_words, elements = up(chars), up(link), up(stops), up(commas), up(words), up(np.ones(n))
     paragraphs, headings, items, all_inputs = up(tag == 5), up(tag == 6), up(tag == 8), up(inputs)
-    has = _up(parent, depth, (tag == 2) | (tag == 1))
+    has = up((tag == 2) | (tag == 1))
     order = np.lexsort((np.arange(n), parent))
     order = order[~root[order]]
     same = np.append(False, parent[order][1:] == parent[order][:-1]) if len(order) else np.zeros(0, bool)
@@ -259,17 +338,15 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def decode(odds: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Which elements are kept: those of the largest total odds such that each one's parent is kept; the roots always are."""
-    best = odds.copy()
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
-        np.add.at(best, parent[at], np.maximum(best[at], 0))
-    keep = best > 0
-    keep[depth == 0] = True
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == d)
-        keep[at] &= keep[parent[at]]
-    return keep
+    """Which elements, in page order, are kept: those of the largest total odds such that each one's parent is kept; the roots always are."""
+    best, above = odds.tolist(), parent.tolist()
+    for i in range(len(best) - 1, -1, -1):
+        if best[i] > 0 and above[i] != i:
+            best[above[i]] += best[i]
+    keep = [False] * len(best)
+    for i, d in enumerate(depth.tolist()):
+        keep[i] = d == 0 or best[i] > 0 and keep[above[i]]
+    return np.array(keep, bool)
 
 
 def extract_texts(model: gbdt.Trees, pages: list[str]) -> list[str]:
@@ -376,7 +453,8 @@ def _page(r: random.Random) -> tuple[str, list[bool]]:
         block(r.choice(("div", "div", "section", "aside", "p")), False, (lambda: [block("p", False, prose(1, 3)), out.append(f"<button>{words(1, 2)}</button>")]) if r.random() < 0.5 else prose(1, 4), named("notice", 1) if r.random() < 0.85 else ' role="alert"')
 
     def form() -> None:
-        block("div", False, lambda: out.append(f'<form action="/{word()}"><label>{words(1, 3)}</label><input name="q"><button>{word()}</button></form>'), named("share", 0.6))
+        fields = lambda: block("form", False, f'<label>{words(1, 3)}</label><input name="q"><button>{word()}</button>', f' action="/{word()}"')
+        block("div", False, fields, named("share", 0.6)) if r.random() < 0.7 else fields()
 
     def comments() -> None:
         def one() -> None:
@@ -391,7 +469,15 @@ def _page(r: random.Random) -> tuple[str, list[bool]]:
         block(r.choice(("section", "div", "div", "ul", "aside")), False, inside, named("comment", 1))
 
     def share() -> None:
-        block("div", False, lambda: links(2, 4), named("share", 0.9))
+        if r.random() < 0.7:
+            block("div", False, lambda: links(2, 4), named("share", 0.9))
+        else:
+            block(r.choice(("p", "div")), False, f"{words(1, 2)} " + " ".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(r.randint(1, 4))), named("share", 0.9))
+
+    def bare(good: bool, inside: str) -> None:
+        """Text in the body itself."""
+        labels.append(good)
+        out.append(inside)
 
     def inline() -> str:
         s = prose(1, 6)
@@ -449,7 +535,27 @@ def _page(r: random.Random) -> tuple[str, list[bool]]:
         else:
             block("div", True, inside)
 
+    def bare_article() -> None:
+        for _ in range(r.randint(1, 8)):
+            if r.random() < 0.7:
+                bare(True, "<br><br>".join(inline() for _ in range(r.randint(1, 4))))
+                out.append("<hr>") if r.random() < 0.2 else None
+            block(r.choice(("p", "h2", "blockquote")), True, inline())
+
     def page() -> None:
+        if r.random() < 0.05:
+            if r.random() < 0.5:
+                bare(False, " | ".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(r.randint(2, 7))))
+            block("h1", True, words(2, 12))
+            bare_article()
+            foot() if r.random() < 0.6 else None
+            return
+        if r.random() < 0.06:  # one form around all
+            block("form", True, parts, f' id="{word()}"')
+        else:
+            parts()
+
+    def parts() -> None:
         plain = r.random() < 0.12
         for part in (notice, head, menu, advert, form):
             if not plain and r.random() < 0.5:

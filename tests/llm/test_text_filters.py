@@ -403,7 +403,8 @@ def test_broken_and_odd_pages(spark, model):
         f"<nav><a href=x>menu</a></nav><article><p>{text}</p></article><div class=comments><p>{text}</p></div><footer>foot</footer>": text,
         f'<article><p>{text}</p><form><input><button>send</button></form><div class="ad">{text}</div></article>': text,
         f"<article><ul><li>{text}<li>{text}</ul></article>": f"{text} {text}",
-        "": "", None: "", "<": "", "<!-- open": "", "<script>open": "",
+        "": "", None: "", "<": "<", "<!-- open": "", "<script>open": "", "<a href=x": "<a href=x",
+        text: text, f"<b>{text}</b> {text}": f"{text} {text}", f"<html><head><title>t</title><body><div class=story><p>{text}</p></div>": text, f"<article hidden><p>{text}</p></article>": text,
     }
     df = spark.createDataFrame([(i, h, "u", 1) for i, h in enumerate(cases)], "page_id long, html string, url string, __text int")
     got = {r["page_id"]: r["text"] for r in html_extract.extract(df, model=model, keep=("url",)).collect()}
