@@ -1,13 +1,16 @@
 """Document fingerprints as Merkle trees.
 
-A text is cut, without losing a character, into sections (after an empty line), these into paragraphs (after a
-line break) and these into phrases, the leaves. A node's hash is that of its children's hashes, so equal roots mean
-equal texts (up to a collision of 64-bit hashes) and a walk down from the root finds the branches that differ. The
+A text is cut, without losing a character, into sections (which end with an empty line), these into paragraphs (lines with
+their break) and these into phrases, the leaves. A phrase ends with a word (what stands up to the next word, white space and
+punctuation included) whose first code point is a multiple of `PHRASE`, or with its paragraph: the rule asks for no language,
+and an edit moves no border but those beside it. A node's hash is that of its children's hashes, so equal roots mean
+equal texts (up to a collision of 64 bits of MD5) and a walk down from the root finds the branches that differ. The
 fingerprint is the tree as text:
 
-    root (16 hex digits), then for each section "/" and its hash (8), for each of its paragraphs ":" and its leaves (6 each)
+    root (16 hex digits), then for each section "/" and its hash (8), for each of its paragraphs ":" and its leaves (8 each)
 
-Likeness is the share of leaves that two trees have in common, 2 |A and B| / (|A| + |B|) over distinct leaves.
+Likeness is the share of leaves, as the fingerprint holds them, that two trees have in common, 2 |A and B| / (|A| + |B|)
+over distinct leaves.
 
 Only DataFrame functions are used. The document after each one comes from a window within ranges of ids: the ranges
 are cut at ids that occur, and the row at a cut is dealt to both sides, so no window spans the whole table.
@@ -15,7 +18,7 @@ are cut at ids that occur, and the row at a cut is dealt to both sides, so no wi
 Inputs: null and empty texts have the tree without leaves, and two of these are alike by 1; a null id sorts
 below all others; rows with equal ids follow each other by the hash of their text and share one range; ids are integers;
 the columns of the input other than id and text are not read; an empty table gives an empty result; a table of one row
-has itself as the next one.
+has itself as the next one; texts and lines of any length are cut whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A phrase ends with white space after a punctuation mark or one of two frequent last letters.
-LEAF = r"(?<=[\p{P}ds]\s)"
-PARAGRAPH, SECTION = r"(?<=\n)", r"(?<=\n\n)"
+PHRASE = 4
+PARAGRAPHS = r"[^\n]*\n|[^\n]+"
+_GAP = r"\s\x0B\p{P}"
+WORDS = rf"[^{_GAP}]*[{_GAP}]+|[^{_GAP}]+"
 #: Ranges for each shuffle partition, so that hashed ranges spread evenly.
 RANGES = 8
 #: Ranges at most, as their cuts are literals of the plan; larger tables have longer ranges, no fewer rows.
@@ -34,32 +38,46 @@ MOST_RANGES = 20_000
 EXACT = 1 << 53
 
 
-def tree(text: Column) -> Column:
-    """The hashes of leaves, by section and paragraph."""
-    parts = lambda x, cut: F.filter(F.split(x, cut, -1), lambda y: y != "")
-    return F.transform(parts(F.coalesce(text, F.lit("")), SECTION), lambda s: F.transform(parts(s, PARAGRAPH), lambda p: F.transform(parts(p, LEAF), lambda x: F.xxhash64(x))))
+def _runs(of: Column, ends) -> Column:
+    """An array cut after each element that ends a run, and at its end."""
+    def cut(xs: Column) -> Column:
+        n = F.size(xs)
+        at = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ends(F.get(xs, i - 1)))
+        before = F.concat(F.array(F.lit(0)), F.slice(at, F.lit(1), F.size(at) - 1))
+        return F.when(n > 0, F.zip_with(before, at, lambda a, b: F.slice(xs, a + 1, b - a))).otherwise(F.filter(F.array(xs), lambda x: F.lit(False)))
 
+    return F.transform(F.array(of), cut)[0]
 
-def leaves(of: Column) -> Column:
-    return F.array_distinct(F.flatten(F.flatten(of)))
+
+def _hash(of: Column) -> Column:
+    return F.left(F.md5(F.array_join(of, "").cast("binary")), F.lit(16))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def section_hash(section: Column) -> Column:
-    return F.xxhash64(F.transform(section, lambda p: F.xxhash64(p)))
+def tree(text: Column) -> Column:
+    """The hashes of leaves (16 hex digits each), by section and paragraph."""
+    phrases = lambda p: F.transform(_runs(_pieces(p, WORDS), lambda w: F.ascii(w) % PHRASE == 0), _hash)
+    return F.transform(_runs(_pieces(F.coalesce(text, F.lit("")), PARAGRAPHS), lambda p: p == "\n"), lambda s: F.transform(s, phrases))
 
 
-def root_hash(of: Column) -> Column:
-    return F.xxhash64(F.transform(of, section_hash))
+def leaves(of: Column) -> Column:
+    """The distinct leaves as a fingerprint holds them."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(of)), lambda x: F.left(x, F.lit(8))))
 
 
-def _hex(x: Column, digits: int) -> Column:
-    return F.right(F.lpad(F.hex(x), 16, "0"), F.lit(digits))
+def paragraphs(of: Column) -> Column:
+    """The hash of each paragraph, by section."""
+    return F.transform(of, lambda s: F.transform(s, _hash))
 
 
 def printed(of: Column) -> Column:
-    paragraph = lambda p: F.array_join(F.transform(p, lambda x: _hex(x, 6)), "")
-    section = lambda s: F.concat(F.lit("/"), _hex(section_hash(s), 8), F.lit(":"), F.array_join(F.transform(s, paragraph), ":"))
-    return F.lower(F.concat(_hex(root_hash(of), 16), F.array_join(F.transform(of, section), "")))
+    """The fingerprint of a tree."""
+    section = lambda s, h: F.concat(F.lit("/"), F.left(h, F.lit(8)), F.lit(":"), F.array_join(F.transform(s, lambda p: F.array_join(F.transform(p, lambda x: F.left(x, F.lit(8))), "")), ":"))
+    with_sections = lambda hashes: F.concat(_hash(hashes), F.array_join(F.zip_with(of, hashes, section), ""))
+    return F.transform(F.array(F.transform(paragraphs(of), _hash)), with_sections)[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -68,15 +86,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def n_changed(a: Column, b: Column) -> Column:
+    """Of two trees: the number of different paragraphs of the first that the second hasn't anywhere."""
+    return F.size(F.array_except(F.flatten(paragraphs(a)), F.flatten(paragraphs(b)))).cast("long")
+
+
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Of two trees: section and paragraph numbers (from 0) where the first has hashes that the second hasn't at that place, found top down."""
-    def inside(s: Column, i: Column) -> Column:
-        other = F.get(b, i)
-        same = F.coalesce(section_hash(s) == section_hash(other), F.lit(False))
-        wrong = F.transform(s, lambda p, j: F.when(F.coalesce(F.xxhash64(p) == F.xxhash64(F.get(other, j)), F.lit(False)), F.lit(None)).otherwise(F.struct(i.alias("section"), j.alias("paragraph"))))
-        return F.when(same, F.filter(wrong, lambda x: F.lit(False))).otherwise(F.filter(wrong, lambda x: x.isNotNull()))
+    """Of two trees: section and paragraph numbers (from 0) of the first where it has what the second hasn't anywhere, found top down; what only moved doesn't differ.
+
+    The time grows with the number of paragraphs times that of the differing ones.
+    """
+    def inside(there: Column) -> Column:
+        new_sections, new = F.array_except(F.transform(there["a"], _hash), F.transform(there["b"], _hash)), F.array_except(F.flatten(there["a"]), F.flatten(there["b"]))
+        place = lambda i: lambda p, j: F.when(F.array_contains(new, p), F.struct(i.alias("section"), j.alias("paragraph")))
+        found = F.transform(there["a"], lambda s, i: F.when(F.array_contains(new_sections, _hash(s)), F.transform(s, place(i))).otherwise(F.array()))
+        return F.filter(F.flatten(found), lambda x: x.isNotNull())
 
-    return F.flatten(F.transform(a, inside))
+    return F.transform(F.array(F.struct(paragraphs(a).alias("a"), paragraphs(b).alias("b"))), inside)[0]
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +153,7 @@ def fingerprints(df: DataFrame, text_cols: dict[str, str]) -> DataFrame:
 
 
 def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of all texts and their edited texts, with the likeness of each to its edited and its next text."""
+    """Fingerprints of all texts and their edited texts, with the likeness of each to its edited and its next text and the number of the edited text's paragraphs that differ."""
     rows = fingerprints(edited(df, id_col, text_col), {"text": "own", "edited_text": "new", "next_text": "next"})
     rows = rows.withColumns({f"{c}_leaves": leaves(F.col(c)) for c in ("own", "new", "next")})
     return rows.select(
@@ -138,4 +164,5 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         printed(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own_leaves"), F.col("new_leaves")).alias("near_edited"),
         likeness(F.col("own_leaves"), F.col("next_leaves")).alias("near_next"),
+        n_changed(F.col("new"), F.col("own")).alias("n_changed"),
     )

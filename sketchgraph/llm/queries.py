@@ -105,4 +105,34 @@ select doc_id,
     coalesce(len(gone), 0)::bigint as n_dropped
 from docs left join dropped using (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL}
+
+#: The tree of merkle, level by level: a phrase is known by document, side and the numbers of its section, paragraph and place.
+FINGERPRINTS_SQL = r"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),
+nexts as (select doc_id, text, coalesce(lead(text) over (order by doc_id desc), first_value(text) over (order by doc_id desc)) as next_text from docs),
+sides as (
+    select doc_id, 'own' as side, text from nexts union all select doc_id, 'next', next_text from nexts
+    union all select doc_id, 'new', substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) from nexts),
+lines as (select doc_id, side, unnest(p) as p, unnest(range(len(p))) as line from (select *, regexp_extract_all(text, '[^
+]*
+|[^
+]+') as p from sides)),
+placed as (select *, coalesce(sum((p = chr(10))::int) over (partition by doc_id, side order by line rows between unbounded preceding and 1 preceding), 0) as section from lines),
+pieces as (select doc_id, side, line, section, unnest(w) as w, unnest(range(len(w))) as i from (select *, regexp_extract_all(p, '[^\s\p{P}]*[\s\p{P}]+|[^\s\p{P}]+') as w from placed)),
+cut as (select *, coalesce(sum((unicode(w) % 4 = 0)::int) over (partition by doc_id, side, line order by i rows between unbounded preceding and 1 preceding), 0) as place from pieces),
+phrases as (select doc_id, side, line, section, place, left(md5(string_agg(w, '' order by i)), 16) as leaf from cut group by all),
+paragraphs as (select doc_id, side, line, section, left(md5(string_agg(leaf, '' order by place)), 16) as hash, string_agg(left(leaf, 8), '' order by place) as shown from phrases group by all),
+sections as (select doc_id, side, section, left(md5(string_agg(hash, '' order by line)), 16) as hash, string_agg(shown, ':' order by line) as shown from paragraphs group by all),
+trees as (select doc_id, side, left(md5(string_agg(hash, '' order by section)), 16) || string_agg('/' || left(hash, 8) || ':' || shown, '' order by section) as print from sections group by all),
+leaves as (select distinct doc_id, side, left(leaf, 8) as leaf from phrases),
+sizes as (select doc_id, count(*) filter (side = 'own') as own, count(*) filter (side = 'new') as new, count(*) filter (side = 'next') as next from leaves group by doc_id),
+common as (select a.doc_id, count(*) filter (b.side = 'new') as new, count(*) filter (b.side = 'next') as next from leaves a join leaves b on a.doc_id = b.doc_id and a.leaf = b.leaf where a.side = 'own' and b.side <> 'own' group by a.doc_id),
+changed as (select doc_id, count(distinct hash) as n from paragraphs a where side = 'new' and not exists (select 1 from paragraphs b where b.doc_id = a.doc_id and b.side = 'own' and b.hash = a.hash) group by doc_id)
+select n.doc_id, length(n.text)::bigint as n_chars, sha256(e.text) as edited_sha256, coalesce(o.print, left(md5(''), 16)) as fingerprint, coalesce(w.print, left(md5(''), 16)) as edited_fingerprint,
+    case when coalesce(s.own, 0) + coalesce(s.new, 0) = 0 then 1.0::double else 2.0::double * coalesce(c.new, 0) / (s.own + s.new) end as near_edited,
+    case when coalesce(s.own, 0) + coalesce(s.next, 0) = 0 then 1.0::double else 2.0::double * coalesce(c.next, 0) / (s.own + s.next) end as near_next,
+    coalesce(d.n, 0)::bigint as n_changed
+from nexts n join sides e on e.doc_id = n.doc_id and e.side = 'new' left join trees o on o.doc_id = n.doc_id and o.side = 'own' left join trees w on w.doc_id = n.doc_id and w.side = 'new'
+left join sizes s on s.doc_id = n.doc_id left join common c on c.doc_id = n.doc_id left join changed d on d.doc_id = n.doc_id
+"""
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL, "op9_document_fingerprints": FINGERPRINTS_SQL}

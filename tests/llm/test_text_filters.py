@@ -141,23 +141,39 @@ def test_line_dedup_against_sql(spark, sf):
 # Fingerprints
 
 
-def brute_leaves(text):
-    leaves = []
-    for section in re.split(r"(?<=\n\n)", text):
-        for paragraph in re.split(r"(?<=\n)", section):
-            start = 0
-            for m in re.finditer(r"\s", paragraph):
-                before = paragraph[m.start() - 1] if m.start() else ""
-                if before and (before in "ds" or __import__("unicodedata").category(before).startswith("P")):
-                    leaves.append(paragraph[start : m.end()])
-                    start = m.end()
-            leaves.append(paragraph[start:])
-    return {x for x in leaves if x}
+def brute_tree(text):
+    """The fingerprint by definition."""
+    import unicodedata
+
+    gap = lambda c: c in " \t\n\r\f\v" or unicodedata.category(c)[0] == "P"
+    digest = lambda parts: hashlib.md5("".join(parts).encode()).hexdigest()[:16]
+    sections = [[]]
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        leaves, start = [], 0
+        word = 0  # where the last word began
+        for i, c in enumerate(line):
+            if i + 1 == len(line) or gap(c) and not gap(line[i + 1]):
+                if ord(line[word]) % 4 == 0 or i + 1 == len(line):
+                    leaves.append(digest(line[start : i + 1]))
+                    start = i + 1
+                word = i + 1
+        sections[-1].append(leaves)
+        if line == "\n":
+            sections.append([])
+    sections = [s for s in sections if s]
+    hashes = [digest(map(digest, s)) for s in sections]
+    return digest(hashes) + "".join("/" + h[:8] + ":" + ":".join("".join(x[:8] for x in p) for p in s) for s, h in zip(sections, hashes))
+
+
+def brute_leaves(fingerprint):
+    """The leaves that a fingerprint holds."""
+    paragraphs = [p for s in fingerprint.split("/")[1:] for p in s.split(":")[1:]]
+    return {p[i : i + 8] for p in paragraphs for i in range(0, len(p), 8)}
 
 
 def test_edit_report(spark):
     r = random.Random(2)
-    texts = {i: " ".join(r.choice(["word", "ends.", "Name,", "é", "\n", "\n\n", "kids", "🙂"]) for _ in range(r.randint(0, 60))) for i in r.sample(range(1000), 80)}
+    texts = {i: " ".join(r.choice(["word", "ends.", "Name,", "é", "\n", "\n\n", "kids", "🙂", "字，句。", "don't"]) for _ in range(r.randint(0, 60))) for i in r.sample(range(1000), 80)}
     texts[2000], texts[2001], texts[2002], texts[-5] = "", "", texts[min(texts)], "a" * 5001
     rows = [*texts.items()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -168,8 +184,9 @@ def test_edit_report(spark):
         t, h = texts[d], len(texts[d]) // 2
         edited = t[: len(t) - h] + texts[after][:h]
         assert got[d]["n_chars"] == len(t) and got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[d]["near_edited"] == pytest.approx(alike(brute_leaves(t), brute_leaves(edited)))
-        assert got[d]["near_next"] == pytest.approx(alike(brute_leaves(t), brute_leaves(texts[after])))
+        assert got[d]["fingerprint"] == brute_tree(t) and got[d]["edited_fingerprint"] == brute_tree(edited)
+        assert got[d]["near_edited"] == pytest.approx(alike(brute_leaves(brute_tree(t)), brute_leaves(brute_tree(edited))))
+        assert got[d]["near_next"] == pytest.approx(alike(brute_leaves(brute_tree(t)), brute_leaves(brute_tree(texts[after]))))
         assert (got[d]["fingerprint"] == got[d]["edited_fingerprint"]) == (t == edited)
     for a in texts:
         for b in texts:
@@ -194,10 +211,31 @@ def test_ids_that_are_no_doubles(spark):
 
 
 def test_differing_paragraphs(spark):
-    df = spark.createDataFrame([("one\ntwo\n\nthree\nfour", "one\n2\n\nthree\nfour\nfive")], "a string, b string")
+    a, b = "one\ntwo\n\nthree\nfour\n", "one\n2\n\nthree\nfour\nfive\n"
+    df = spark.createDataFrame([(a, b), (a, "front\n" + a), ("front\n\n" + a, a), (a, a), (a, ""), (None, "")], "a string, b string")
     trees = merkle.fingerprints(df, {"a": "x", "b": "y"})
-    got = trees.select(merkle.differing_paragraphs(F.col("x"), F.col("y")), merkle.differing_paragraphs(F.col("y"), F.col("x")), merkle.differing_paragraphs(F.col("x"), F.col("x"))).head()
-    assert [tuple(x) for x in got[0]] == [(0, 1), (1, 1)] and [tuple(x) for x in got[1]] == [(0, 1), (1, 1), (1, 2)] and got[2] == []
+    x, y = F.col("x"), F.col("y")
+    got = trees.select(merkle.differing_paragraphs(x, y), merkle.differing_paragraphs(y, x), merkle.n_changed(x, y), merkle.n_changed(y, x)).collect()
+    assert [([tuple(p) for p in r[0]], [tuple(p) for p in r[1]]) for r in got] == [
+        ([(0, 1)], [(0, 1), (1, 2)]), ([], [(0, 0)]), ([(0, 0)], []), ([], []), ([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)], []), ([], []),
+    ]
+    assert [tuple(r[2:]) for r in got] == [(1, 2), (0, 1), (1, 0), (0, 0), (5, 0), (0, 0)]
+
+
+def test_fingerprints_of_long_texts(spark):
+    r = random.Random(10)
+    text = " ".join(r.choice(["word", "ends.", "Name", "x"]) for _ in range(300_000)) + "\n" + "line\n" * 100_000
+    df = spark.createDataFrame([(1, text), (2, text + "more"), (3, "y" * 2_000_000)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in merkle.edit_report(df).collect()}
+    assert got[1]["fingerprint"] == brute_tree(text) and got[2]["near_next"] > 0.5 and got[3]["fingerprint"] == brute_tree("y" * 2_000_000)
+
+
+def test_fingerprints_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = queries.QUERIES["op9_document_fingerprints"](spark, sf)
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, con.sql(queries.ORACLE_SQL["op9_document_fingerprints"]).select(", ".join(columns)).fetchall()))
 
 
 # Decontamination
