@@ -10,10 +10,14 @@ Two deterministic transducers stand for a byte-level BPE tokenizer:
   transition carries the number of tokens that it adds to (or takes from) the count. States are compiled when
   they are first met and forgotten together beyond `MAX_TRANSITIONS`.
 
-Words restart the counter, so chunks of whole words run side by side as numpy lanes.
+Words restart the counter, so chunks of whole words run side by side as numpy lanes. A long word is cut into chunks as well.
+The map of a chunk says for the states that may come before it which state and how many tokens follow; these states are
+guessed by runs that begin shortly before the chunk at several places. The maps are composed by a prefix scan from the
+word's first state on; where a map lacks a state that comes before its chunk it gets that state, until none is missing. So
+the counts are exact whatever was guessed.
 
 Inputs: null and empty texts count 0 tokens; repeated rows and ids are counted each on its own; other columns of
-the input are not read; an empty table gives an empty result. A word of any length runs in one lane.
+the input are not read; an empty table gives an empty result; a word of any length is counted whole, `PIECE` bytes of it at once.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ SCHEMA = "n_bytes long, n_tokens long"
 #: Transitions a worker keeps (about 100 bytes each, with their states).
 MAX_TRANSITIONS = 1_500_000
 CHUNK, LANES = 256, 4096
+#: Bytes of words that are cut into chunks, of a chunk, of the run before it, and places at which such runs begin.
+LONG, STEP, WARM, PLACES = 2048, 512, 48, 4
+#: Bytes of a word whose chunks are composed at once.
+PIECE = 1 << 20
 
 # Classes of characters.
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
@@ -215,10 +223,7 @@ class Counter:
         all_tokens, all_counts = (token, *tokens), (0, *(c - add for c in counts))
         need = [k == 0 or text[len(text) - k :] in self.live for k in range(keep + 1)]
         to = (text[len(text) - keep :], tuple(t if ok else -1 for t, ok in zip(all_tokens, need)), tuple(c if ok else 0 for c, ok in zip(all_counts, need)))
-        if (at := self.ids.get(to)) is None:
-            at = self.ids[to] = len(self.states)
-            self.states.append(to)
-        return at, add
+        return self.state(to), add
 
     def add(self, key: int) -> None:
         to, add = self.compiled(key >> 8, key & 255)
@@ -254,18 +259,102 @@ class Counter:
         if not len(starts):
             return out
         lanes = np.unique(starts[np.searchsorted(starts, np.linspace(0, starts[-1], min(LANES, len(starts))).astype(np.int64))])
-        sizes = np.append(lanes[1:], len(data)) - lanes
-        order = np.argsort(-sizes, kind="stable")
-        at, sizes = lanes[order], sizes[order]
-        state = np.zeros(len(at), np.int64)
-        alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+        ends = np.append(starts[1:], len(data))
+        long = ends - starts > LONG
+        if long.any():
+            begin, end = starts[long], ends[long]
+            lanes = np.setdiff1d(np.union1d(lanes, end[end < len(data)]), begin)
+            cut = np.union1d(lanes, begin)
+            sizes = np.append(cut[1:], len(data))[np.searchsorted(cut, lanes)] - lanes
+        else:
+            sizes = np.append(lanes[1:], len(data)) - lanes
         data, restart = data.astype(np.int64), ~begins
+        self.run(data, restart, lanes, sizes, np.zeros(len(lanes), np.int64), out)
+        if long.any():
+            self.words(data, begin, end, out)
+        return out
+
+    def run(self, data: np.ndarray, restart: np.ndarray | None, at: np.ndarray, sizes: np.ndarray, state: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """The states after stretches of data that begin in the given ones; out gets the tokens that each byte adds. restart: 0 where a word begins."""
+        order = np.argsort(-sizes, kind="stable")
+        at, sizes, state = at[order], sizes[order], state[order]
+        after = state.copy()
+        alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right") if len(sizes) else np.zeros(0, np.int64)
         for n in alive.tolist():
             at, state = at[:n], state[:n]
-            where = self.find((state * restart[at] << 8) + data[at])
-            out[at], state = self.adds[where], self.next[where]
+            keys = (state if restart is None else state * restart[at]) << 8
+            where = self.find(keys + data[at])
+            if out is not None:
+                out[at] = self.adds[where]
+            after[:n] = state = self.next[where]
             at = at + 1
-        return out
+        back = np.empty_like(after)
+        back[order] = after
+        return back
+
+    def words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, out: np.ndarray) -> None:
+        """Fills out for long words, a piece of each at a time."""
+        state = np.zeros(len(begin), np.int64)
+        while len(begin):
+            if self.n > MAX_TRANSITIONS:
+                kept = [self.states[i] for i in state.tolist()]
+                self.reset()
+                state = np.array([self.state(x) for x in kept], np.int64)
+            stop = np.minimum(begin + PIECE, end)
+            state = self.chunks(data, begin, stop, state, out)
+            more = stop < end
+            begin, end, state = stop[more], end[more], state[more]
+
+    def state(self, of: tuple) -> int:
+        if (at := self.ids.get(of)) is None:
+            at = self.ids[of] = len(self.states)
+            self.states.append(of)
+        return at
+
+    def chunks(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, state: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Fills out for stretches of long words that begin in the given states; the states after them."""
+        number = -(-(end - begin) // STEP)
+        word = np.repeat(np.arange(len(begin)), number)
+        first = np.cumsum(number) - number
+        place = np.arange(len(word)) - first[word]
+        at = begin[word] + place * STEP
+        size = np.minimum(at + STEP, end[word]) - at
+        # The domains of the maps, as chunk << 32 | state: the first chunks' states are known, the others' guessed.
+        inner = np.flatnonzero(place)
+        guesses = [(first << 32) | state]
+        for i in range(PLACES):
+            early = np.maximum(at[inner] - WARM - i, begin[word[inner]])
+            known = np.where(early == begin[word[inner]], state[word[inner]], 0)
+            guesses.append(inner << 32 | self.run(data, None, early, at[inner] - early, known))
+        domain, after = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.unique(np.concatenate(guesses))
+        last = np.append(word[1:] != word[:-1], True)
+        while True:
+            chunk = new >> 32
+            there = self.run(data, None, at[chunk], size[chunk], new & 0xFFFFFFFF)
+            domain, after = np.append(domain, new), np.append(after, there)
+            order = np.argsort(domain)
+            domain, after = domain[order], after[order]
+            chunk = domain >> 32
+            wanted = np.where(last[chunk], -1, (chunk + 1) << 32 | after)
+            step = np.minimum(np.searchsorted(domain, wanted), len(domain) - 1)
+            missing = (domain[step] != wanted) & (wanted >= 0)
+            # The prefix scan: a map's composition with itself covers twice as many chunks each time.
+            none = len(domain)
+            step = np.append(np.where(missing | (wanted < 0), none, step), none)
+            reached = np.full(len(word), none)
+            reached[first] = np.searchsorted(domain, first << 32 | state)
+            reach = 1
+            while reach < number.max():
+                mine = np.flatnonzero((place >= reach) & (place < 2 * reach))
+                reached[mine] = step[reached[mine - reach]]
+                step = step[step]
+                reach *= 2
+            if (reached < none).all():
+                break
+            new = np.unique(wanted[missing])
+        self.run(data, None, at, size, domain[reached] & 0xFFFFFFFF, out)
+        return after[reached[last]]
 
 
 _counters: dict[int, Counter] = {}
