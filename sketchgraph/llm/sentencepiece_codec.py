@@ -4,8 +4,9 @@ The words of a batch (white space and what follows it; no piece reaches over) ar
 suffix array, sorted by as many characters as the longest piece has. A binary search for every piece of the
 vocabulary gives its range of occurrences; the occurrences are edges between positions. Sorted by the position
 where they end, they are relaxed from left to right: of the edges into a position exactly one follows its
-predecessor stably (see `bpe_merges`), and it is the last token of the encoding up to there. Characters without a
-piece fall back to their bytes. Words that a worker has encoded are remembered.
+predecessor stably (see `bpe_merges`), and it is the last token of the encoding up to there. Words are relaxed side by
+side; a word over `LONG` characters is relaxed on its own, edge by edge, and indexed in stretches that overlap by the longest
+piece. Characters without a piece fall back to their bytes. Words that a worker has encoded are remembered.
 
 Inputs: null and empty texts have no tokens; decoding gives the text back unless it holds U+2581 itself, which
 the vocabulary uses for spaces; repeated rows are encoded each on its own; other columns of the input are not read;
@@ -29,6 +30,8 @@ from .word_table import WordMemo
 SPACE = "▁"
 #: Words a worker remembers, and characters that it indexes at once.
 MAX_WORDS, INDEX_CHARS = 1_000_000, 1 << 18
+#: Characters from which on a word is relaxed on its own, and pairs of tokens remembered for that.
+LONG, MAX_PAIRS = 1024, 2_000_000
 
 
 def merged(text: str, pieces: dict[str, int], score: list[float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -98,6 +101,18 @@ class PieceModel:
             row[: len(p)] = [ord(c) + 1 for c in p]
         self.surface = [b"" if p.type in (kinds.CONTROL, kinds.UNKNOWN) else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.encode() for p in spec.pieces]
 
+    def follows(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a, remembered."""
+        known = self.table.known
+        if (got := known.get((a, b))) is None:
+            if len(known) > MAX_PAIRS:
+                known.clear()
+            got = known[a, b] = bool(self.stable(np.array([a]), np.array([b]))[0]) if self.surface_is_run(a) and self.surface_is_run(b) else self.table._stable(a, b, 1 << 62)
+        return got
+
+    def surface_is_run(self, token: int) -> bool:
+        return token < self.size and not self.names[token].strip(SPACE)
+
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = self.table.stable_many(a, b)
         place = np.full(self.size + 1, -1)
@@ -213,6 +228,36 @@ def encode_words(model: PieceModel, words: list[np.ndarray]) -> tuple[np.ndarray
     return out, n
 
 
+def encode_long(model: PieceModel, word: np.ndarray) -> list[int]:
+    """Ids of one word (an array of code points plus 1): its edges in the order in which they begin, relaxed one by one."""
+    n = len(word)
+    last, back, follows = [-1] * (n + 1), [0] * (n + 1), model.follows
+    for start in range(0, n, INDEX_CHARS):
+        text = np.append(word[start : start + INDEX_CHARS + model.longest], 0)
+        at, row = occurrences(text, model)
+        length, piece = model.lengths[row], model.ids[row]
+        single = np.zeros(len(text), bool)
+        single[at[length == 1]] = True
+        bare = np.flatnonzero(~single & (text != 0))
+        at, length, piece = np.append(at, bare), np.append(length, np.ones_like(bare)), np.append(piece, np.full_like(bare, model.size))
+        order = np.argsort(at, kind="stable")
+        order = order[at[order] < INDEX_CHARS]
+        for a, step, token in zip((at[order] + start).tolist(), length[order].tolist(), piece[order].tolist()):
+            if a == 0 or follows(last[a], token):
+                last[a + step], back[a + step] = token, a
+    out, here = [], n
+    while here:
+        out.append(last[here] if last[here] != model.size else -int(word[here - 1]))
+        here = back[here]
+    spread = []
+    for token in reversed(out):
+        if token < 0:
+            spread += [model.bytes[b] for b in chr(-token - 1).encode("utf-8", "replace")]
+        else:
+            spread.append(token)
+    return spread
+
+
 class Codec:
     def __init__(self, model: PieceModel):
         self.model, self.memo = model, WordMemo(MAX_WORDS)
@@ -230,12 +275,22 @@ class Codec:
         ends = np.append(begins[1:], len(points)) if len(begins) else begins
 
         def words(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            out, total, i = [], np.cumsum(b - a), 0
-            while i < len(a):
+            n, parts = np.zeros(len(a), np.int64), [np.zeros(0, np.int64)] * len(a)
+            for i in np.flatnonzero(b - a > LONG).tolist():
+                parts[i] = np.array(encode_long(self.model, points[a[i] : b[i]].astype(np.int64) + 1), np.int64)
+                n[i] = len(parts[i])
+            short = np.flatnonzero(b - a <= LONG)
+            out, x, y = [], a[short], b[short]
+            total, i = np.cumsum(y - x), 0
+            while i < len(x):
                 j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + INDEX_CHARS, side="right")))
-                out.append(encode_words(self.model, [points[x:y].astype(np.int64) + 1 for x, y in zip(a[i:j].tolist(), b[i:j].tolist())]))
+                out.append(encode_words(self.model, [points[p:q].astype(np.int64) + 1 for p, q in zip(x[i:j].tolist(), y[i:j].tolist())]))
                 i = j
-            return np.concatenate([ids for ids, _ in out]), np.concatenate([n for _, n in out])
+            if len(short) == len(a):
+                return np.concatenate([ids for ids, _ in out]), np.concatenate([n for _, n in out])
+            for k, ids in zip(short.tolist(), (x for ids, n in out for x in np.split(ids, np.cumsum(n)[:-1]))):
+                parts[k], n[k] = ids, len(ids)
+            return np.concatenate(parts), n
 
         ids, total = self.memo.ids(points, begins, ends, words)
         return ids, total[np.searchsorted(begins, np.append(starts, len(points)))]

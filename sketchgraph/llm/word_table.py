@@ -1,7 +1,8 @@
 """A numpy table from words to numbers, for what a worker remembers of words it has met.
 
 Words are spans of an array of code points. A span's key is a polynomial hash modulo 2**64, taken from running
-sums, so that no string is made for a word that is known. Spans over `LONGEST` code points have no key.
+sums, so that no string is made for a word that is known. The code points of each word are kept and compared with those
+of a span that has its key; a span whose key another word has is encoded each time, and so is one over `LONGEST` points.
 """
 
 from __future__ import annotations
@@ -91,36 +92,50 @@ class WordMemo:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.used = WordTable(), 0
+        self.words = WordTable()
         self.flat, self.ends = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64)
+        self.chars, self.char_ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
 
-    def _remember(self, ids: np.ndarray, counts: np.ndarray) -> None:
+    def _remember(self, ids: np.ndarray, counts: np.ndarray, chars: np.ndarray, lengths: np.ndarray) -> None:
         n = self.words.n
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(counts) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(counts)] = self.used + np.cumsum(counts)
-        self.used += len(ids)
+            self.ends, self.char_ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.char_ends))
+        for flat, ends, values, sizes in (("flat", self.ends, ids, counts), ("chars", self.char_ends, chars, lengths)):
+            used = ends[n]
+            while used + len(values) > len(getattr(self, flat)):
+                setattr(self, flat, np.concatenate([getattr(self, flat), np.zeros_like(getattr(self, flat))]))
+            getattr(self, flat)[used : used + len(values)] = values
+            ends[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
+
+    def _others(self, at: np.ndarray, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which spans are not the words of these numbers."""
+        known = at >= 0
+        differ = known & (self.char_ends[at + 1] - self.char_ends[at] != lengths)
+        mine = np.flatnonzero(known & ~differ)
+        sizes = lengths[mine]
+        start = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum()), dtype=np.int64)
+        wrong = np.flatnonzero(self.chars[step + np.repeat(self.char_ends[at[mine]] - start, sizes)] != points[step + np.repeat(begins[mine] - start, sizes)])
+        differ[mine[np.searchsorted(start, wrong, side="right") - 1]] = True
+        return np.flatnonzero(differ)
 
     def ids(self, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at begins:ends in one array, and where each word's ids begin in it (and the last ones end).
 
-        encode(begins, ends) gives the ids of distinct words in one array, and their numbers.
+        encode(begins, ends) gives the ids of words in one array, and their numbers.
         """
         if self.words.n > self.most:
             self.forget()
-        keys = span_keys(points, begins, ends)
+        keys, lengths = span_keys(points, begins, ends), ends - begins
         at = self.words.find(keys).astype(np.int64)
-        once = np.zeros(0, np.int64)
-        if len(missing := np.flatnonzero(at < 0)):
-            long = ends[missing] - begins[missing] > LONGEST
-            once, missing = missing[long], missing[~long]
+        if len(missing := np.flatnonzero((at < 0) & (lengths <= LONGEST))):
             new, first, place = np.unique(keys[missing], return_index=True, return_inverse=True)
-            if len(new):
-                self._remember(*encode(begins[missing[first]], ends[missing[first]]))
-                at[missing] = self.words.add(new)[place]
+            first = missing[first]
+            spread = np.arange(int(lengths[first].sum())) + np.repeat(begins[first] - np.cumsum(lengths[first]) + lengths[first], lengths[first])
+            self._remember(*encode(begins[first], ends[first]), points[spread], lengths[first])
+            at[missing] = self.words.add(new)[place]
+        at[self._others(at, points, begins, lengths)] = -1
+        once = np.flatnonzero(at < 0)
         n, known = np.zeros(len(at), np.int64), at >= 0
         n[known] = self.ends[at[known] + 1] - self.ends[at[known]]
         if len(once):

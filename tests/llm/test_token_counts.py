@@ -50,6 +50,42 @@ def test_counts_after_forgetting(library, monkeypatch):
         assert token_counts.count_texts(bpe, texts)[1].tolist() == [len(x) for x in library(texts)]
 
 
+def long_words():
+    r = random.Random(12)
+    of = lambda parts, n: "".join(r.choice(parts) for _ in range(n))
+    letters, mixed = "abcdefghijklmnopqrstuvwxyz", ["the", "ing", "tion", "and", "er", "Inter", "national", "qu", "x", "ß", "é", "日本", "語", "🙂"]
+    out = ["a" * 200_000, "ab" * 30_000, "abcabcabd" * 5000, of(letters, 60_000), of(mixed, 20_000), "=" * 20_000, of("0123456789", 5000), " " * 5000 + "x"]
+    return out + [" ".join(of(letters[:8], r.choice((3, 9, 1000, 1030, 2100, 2560, 7000))) for _ in range(60)) + " end"]
+
+
+def test_long_words_like_the_library(library, monkeypatch):
+    bpe, texts = token_counts.ByteBPE(PATH), long_words()
+    want = [len(x) for x in library(texts)]
+    assert token_counts.count_texts(bpe, texts)[1].tolist() == want
+    monkeypatch.setattr(token_counts, "PIECE", 1 << 13)
+    monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 5000)
+    monkeypatch.setattr(token_counts, "WARM", 1)  # guesses that are mostly wrong
+    monkeypatch.setattr(token_counts, "PLACES", 1)
+    assert token_counts.count_texts(token_counts.ByteBPE(PATH), texts[-3:])[1].tolist() == want[-3:]
+    assert token_counts.count_texts(token_counts.ByteBPE(PATH), texts[3:5])[1].tolist() == want[3:5]
+
+
+def test_one_megabyte_without_white_space(library, pieces):
+    """Twenty times the library's seconds, or some seconds on a busy machine, at most."""
+    import time
+
+    def seconds(f) -> float:
+        start = time.perf_counter()
+        f()
+        return time.perf_counter() - start
+
+    r = random.Random(13)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    bpe, codec = token_counts.ByteBPE(PATH), sentencepiece_codec.Codec(sentencepiece_codec.piece_model(PIECES))
+    assert seconds(lambda: token_counts.count_texts(bpe, [text])) < max(20, 20 * seconds(lambda: library([text])))
+    assert seconds(lambda: codec.encode([text])) < max(10, 20 * seconds(lambda: pieces.encode(text)))
+
+
 def test_every_code_point_is_split_like_the_library(library):
     chars = [chr(c) for c in [*range(0x3000), *range(0x3000, 0xD800, 7), *range(0xE000, 0x110000, 101)]]
     texts = [f"a{c}{c} {c}1{c}\n" for c in chars]
@@ -82,6 +118,27 @@ def rows(spark, texts):
     return spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
 
 
+def test_words_of_equal_keys(pieces, monkeypatch):
+    from sketchgraph.llm import word_table
+
+    monkeypatch.setattr(word_table, "span_keys", lambda points, starts, ends: span_keys(points, starts, ends) % np.uint64(7) | np.uint64(1))
+    texts = odd_texts(200, 4)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.piece_model(PIECES))
+    for _ in range(2):
+        ids, starts = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == pieces.encode(texts)
+
+
+def test_long_words_in_pieces(pieces, monkeypatch):
+    texts = long_words()
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.piece_model(PIECES))
+    want = pieces.encode(texts)
+    for chars in (1 << 18, 1000):
+        monkeypatch.setattr(sentencepiece_codec, "INDEX_CHARS", chars)
+        ids, starts = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == want
+
+
 def test_count_tokens(spark, library):
     texts = [None, "", "same", "same", *odd_texts(20)]
     got = token_counts.count_tokens(rows(spark, texts), PATH).orderBy("doc_id").collect()
