@@ -202,10 +202,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", prefix: str =
     return map_arrow(df, run, f"{fields}{', ' if fields else ''}`{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>{f', `{names[3]}` boolean' if fits else ''}")
 
 
-def known_only(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """df without the rows of unknown language, of a score below least, or that no set of the languages fits."""
+def known_only(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST, lang_col: str | None = None) -> DataFrame:
+    """df without the rows of unknown language, of a score below least, or that no set of the languages fits; a null lang_col, if named, becomes the language found."""
     prefix = "__"
     while any(c.startswith(prefix) for c in df.columns):
         prefix += "_"
     rows = identify(df, model, text_col, prefix, True)
-    return rows.where((F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= least) & F.col(f"{prefix}fits")).select(*df.columns)
+    rows = rows.where((F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= least) & F.col(f"{prefix}fits"))
+    return rows.select(*[F.coalesce(c, f"{prefix}lang_pred").alias(c) if c == lang_col else c for c in df.columns])

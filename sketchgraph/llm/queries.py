@@ -11,19 +11,16 @@ from pyspark.sql import functions as F
 from . import decontaminate, html_extract, langid, line_dedup, merkle, quality, records, sentencepiece_codec, simhash, token_counts
 from ._common import table
 
-#: Where the vocabulary files lie, unless SKETCHGRAPH_TOKENIZERS names another folder.
-TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MAX_TOKENS = 512
 
 
 def tokenizer(name: str) -> str:
+    """Path of a vocabulary file: in the folder that SKETCHGRAPH_TOKENIZERS names, else in the installed public_tokenizers."""
     if folder := os.environ.get("SKETCHGRAPH_TOKENIZERS"):
         return f"{folder}/{name}"
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sketchgraph.llm import queries
 
@@ -34,6 +36,34 @@ def test_stages_keep_and_drop(spark, sf):
         assert f(spark, empty, sf).count() == 0
 
 
+def test_stages_hand_on_columns(spark, sf):
+    """Clashing names, repeated rows, ties, nulls and very long texts through all stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clash = ["__row", "__text", "__id", "row", "id", "fp", "n", "keys", "form", "leaf", "items", "window", "ids", "__lang_pred", "first"]
+    good = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    long = (9100, "".join(t[1] + " " for t in good[:80] if t[2] == "en") * 4, None, None, None)
+    rows = good + good[:3] + [long, (9101, None, "en", "s", 1), (None, good[5][1] + " and something more", None, "s", 1), (9102, "x" * 300_000, None, "s", 1)]
+    names = [*docs.columns, *clash]
+    df = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], ", ".join(f"`{c}` {t}" for c, t in [*docs.dtypes, *((c, "int") for c in clash)]))
+    kept = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == names, name
+        got = kept.collect()
+        assert all(r["form"] == clash.index("form") and r["ids"] == clash.index("ids") for r in got)
+        kept = spark.createDataFrame(got, df.schema)
+        if name == "language ID":
+            assert {r["lang"] for r in got if r["doc_id"] == 9100} == {"en"} and 9101 not in {r["doc_id"] for r in got}
+        if name == "SimHash near-dedup":
+            assert len(got) == len({(r["doc_id"], r["text"]) for r in got})
+    last = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
+    assert last.columns == [*(c for c in names if c != "ids"), "ids", "n_tokens", "round_trip"] and all(r["round_trip"] for r in last.collect())
+    bare = df.select("doc_id", "text")
+    for _, stage in corpus_pipeline.STAGES:
+        bare = spark.createDataFrame((out := stage(spark, bare.withColumn("lang", F.lit("en")) if "lang" not in bare.columns else bare, sf)).collect(), out.schema)
+    assert bare.count() > 0
+
+
 def test_registered(spark):
     import __spark_entry__
 
