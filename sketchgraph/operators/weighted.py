@@ -14,9 +14,15 @@ def heaviest(items: DataFrame, item_col: str = "item", weight_col: str = "weight
     return items.groupBy(*by, item_col).agg(F.max(F.struct(F.col(weight_col).alias("w"), (-F.col(seq_col)).alias("s"))).alias("best")).select(*by, item_col, F.col("best.w").alias(weight_col), (-F.col("best.s")).alias(seq_col))
 
 
-def positions(items: DataFrame, by: tuple[str, ...], weight_col: str = "weight", seq_col: str = "seq") -> DataFrame:
-    """items with position, from 1, in queue order within `by`."""
-    return items.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(weight_col), seq_col)))
+def first(items: DataFrame, k: int, item_col: str = "item", weight_col: str = "weight", seq_col: str = "seq") -> DataFrame:
+    """The k first rows in queue order, with their position; items of equal weight and seq by themselves."""
+    order = [F.desc(weight_col), seq_col, item_col]
+    return items.orderBy(*order).limit(k).withColumn("position", F.row_number().over(Window.orderBy(*order)))  # k rows
+
+
+def positions(items: DataFrame, by: tuple[str, ...], item_col: str = "item", weight_col: str = "weight", seq_col: str = "seq") -> DataFrame:
+    """items with position, from 1, in queue order within `by`; items of equal weight and seq by themselves."""
+    return items.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(weight_col), seq_col, item_col)))
 
 
 class WeightedQueue:

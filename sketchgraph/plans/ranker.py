@@ -11,8 +11,9 @@ from ..checkpoints import written
 from ..functions.vectors import jaccard
 from ..operators import graph
 from ..operators.crawl import crawl
+from ..sources.pages import Fetcher
 
-DAMPING, APPROXIMATIONS, TOP = 0.85, (0.01, 0.005, 0.001), 20
+DAMPING, APPROXIMATIONS, TOP, DIGITS = 0.85, (0.01, 0.005, 0.001), 20, 8
 
 
 def rankings(edges: DataFrame, k: int = TOP, approximations: Sequence[float] = APPROXIMATIONS, extra: DataFrame | None = None, damping: float = DAMPING) -> DataFrame:
@@ -21,8 +22,9 @@ def rankings(edges: DataFrame, k: int = TOP, approximations: Sequence[float] = A
     degrees = graph.degrees(edges, extra)
     tops = [graph.top_k(degrees, "out_degree", k), graph.top_k(degrees, "in_degree", k)]
     by = ["out_degree", "in_degree"]
-    for a in approximations:
-        tops.append(graph.top_k(graph.page_rank(edges, a, damping, extra=extra), "rank", k))
+    for ranks in graph.page_ranks(edges, approximations, damping, extra=extra).values():
+        # Sums of another order differ in the last digits; equal ranks are ties by id.
+        tops.append(graph.top_k(ranks.withColumn("rank", F.round("rank", DIGITS)), "rank", k))
         by.append("rank")
     out = None
     for i, (rows, c) in enumerate(zip(tops, by)):
@@ -39,8 +41,8 @@ def likeness(ranked: DataFrame) -> DataFrame:
     return pair.select(F.col("a.list").alias("list_a"), F.col("b.list").alias("list_b"), jaccard(F.col("a.ids"), F.col("b.ids")).alias("jaccard"))
 
 
-def crawl_and_rank(seed: str, pages: DataFrame, keywords: Sequence[str], most: int = 500, k: int = TOP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges of the crawl, rankings and their likeness."""
-    _, edges = crawl(seed, pages, keywords, most)
+def crawl_and_rank(seed: str, pages: DataFrame | Fetcher, keywords: Sequence[str], most: int = 500, k: int = TOP, prefixes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges of the crawl, rankings and their likeness. prefixes: what the site's robots.txt disallows."""
+    _, edges = crawl(seed, pages, keywords, most, prefixes=prefixes)
     ranked = rankings(edges.select("src", "dst"), k)
     return edges, ranked, likeness(ranked)
