@@ -1,32 +1,72 @@
 """Links of pages with weights by their nearness to keywords.
 
-A page's text from its first `<p>` is cut into tokens by one pattern; running counts over the tokens of a page
-then place words, links and keywords, so a page's work is linear in its tokens.
+A page's text from its first `<p>` is cut into tokens by one pattern. Each page is read in one pass of an Arrow batch:
+its tokens stay where the page is, and the work is linear in them (but for a search in its sorted keywords).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .weighted import heaviest
+from ..shipping import ship
 
-# Fixed patterns and values of the tokenizer and of the weights.
-BODY, TOKEN = r"(?is)<p>.*", r"(?i)<a\s+[^>]*>|</a>|[a-zA-Z0-9_-]+|<[^>]*>"
-HREF = r'(?i)^<a.*href="([^"]*)".*>'
-FARTHEST = 17
+# Fixed patterns and values of the tokenizer and of the weights; classes are those of ASCII, and a point is no line end.
+BODY, TOKEN = re.compile(r"<p>", re.I | re.A), re.compile(r"<a\s+[^>]*>|</a>|[a-zA-Z0-9_-]+|<[^>]*>", re.I | re.A)
+_POINT = "[^\\n\\r\\u0085\\u2028\\u2029]"
+HREF = re.compile(rf'<a{_POINT}*href="([^"]*)"{_POINT}*>', re.I | re.A)
+FARTHEST, SPACES = 17, tuple(" \t\n\x0b\f\r")
 
 
-def body(html: Column) -> Column:
+def body(html: str | None) -> str:
     """What follows the first `<p>`, itself included; empty without one."""
-    return F.regexp_extract(F.coalesce(html, F.lit("")), BODY, 0)
+    m = BODY.search(html or "")
+    return html[m.start() :] if m else ""
 
 
-def accepted(href: Column) -> Column:
+def accepted(href: str) -> bool:
     """No anchors, no colons (other sites, files), no double slash in front."""
-    return ~href.contains("#") & ~href.contains(":") & ~href.startswith("//")
+    return "#" not in href and ":" not in href and not href.startswith("//")
+
+
+def page_links(html: str | None, keywords: Sequence[str], topic_sensitive: bool = True) -> list[tuple[str, float, int]]:
+    """href, weight and seq of the links of one page, as extract_links says."""
+    wanted, events, spans, at, n = {*keywords}, [], [], [], 0
+    for token in TOKEN.findall(body(html)):
+        if token[0] != "<":
+            if spans:
+                spans[-1] = (spans[-1][0] if spans[-1][0] >= 0 else n, n)
+            if token.lower() in wanted:
+                at.append(n)
+            n += 1
+        elif token.lower() == "</a>":
+            events.append(None)
+            spans.append((-1, -1))
+        elif token[:2].lower() == "<a" and token[2:3] in SPACES and (m := HREF.match(token)) and accepted(m[1]):
+            events.append(m[1])
+            spans.append((-1, -1))
+    best: dict[str, tuple[float, int]] = {}
+    for i, href in enumerate(events):
+        if href is None or i + 1 == len(events) or events[i + 1] is not None:
+            continue
+        weight = 0.0
+        if topic_sensitive:
+            begin, end = spans[i]
+            low = href.lower()
+            place = bisect_left(at, begin)
+            if place < len(at) and at[place] <= end or any(k in low for k in keywords):
+                weight = 1.0
+            else:
+                near = [abs(e - at[j]) for e in (begin, end) for j in (bisect_left(at, e) - 1, bisect_left(at, e)) if 0 <= j < len(at)]
+                weight = 1.0 / (min(near) + 2) if near and min(near) <= FARTHEST else 0.0
+        if href not in best or weight > best[href][0]:
+            best[href] = weight, i + 1
+    return [(href, w, seq) for href, (w, seq) in best.items()]
 
 
 def extract_links(pages: DataFrame, keywords: Sequence[str], topic_sensitive: bool = True, drop_self: bool = True) -> DataFrame:
@@ -34,28 +74,18 @@ def extract_links(pages: DataFrame, keywords: Sequence[str], topic_sensitive: bo
 
     A link is an `<a>` whose next event is an `</a>`; other `<a>` without a usable href don't count. Weight: 0 if not
     topic_sensitive; 1 if a keyword stands in the link or its href contains one; else 1 / (d + 2) for the distance d in words
-    from its begin or end to the nearest keyword, 0 beyond FARTHEST. A link without words lies at -1. Pages without `<p>` have no links.
+    from its begin or end to the nearest keyword, 0 beyond FARTHEST. A link without words lies at -1. Pages without `<p>`, and
+    null ones, have no links.
     """
     low = [k.lower() for k in keywords]
-    tokens = pages.select("url", F.posexplode(F.regexp_extract_all(body(F.col("html")), F.lit(TOKEN), F.lit(0))).alias("i", "token"))
-    opens = F.col("token").rlike(HREF) & accepted(F.col("href"))
-    tokens = tokens.withColumn("href", F.when(F.col("token").rlike(r"(?i)^<a\s"), F.regexp_extract("token", HREF, 1)))
-    tokens = tokens.withColumns({"word": ~F.col("token").startswith("<"), "event": F.when(F.col("href").isNotNull() & opens, "open").when(F.lower("token") == "</a>", "close")})
-    order = Window.partitionBy("url").orderBy("i")
-    so_far, from_here = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    tokens = tokens.withColumns({"pos": F.when(F.col("word"), F.sum(F.col("word").cast("int")).over(so_far) - 1), "part": F.count("event").over(so_far)})
-    tokens = tokens.withColumn("kw", F.when(F.col("word") & F.lower("token").isin(low), F.col("pos")) if low else F.lit(None).cast("long"))
-    tokens = tokens.withColumns({"before": F.last("kw", True).over(so_far), "after": F.first("kw", True).over(from_here), "first_kw": F.min("kw").over(Window.partitionBy("url"))})
-    at = lambda end, c: getattr(F, f"{end}_by")(c, "pos")
-    parts = tokens.groupBy("url", "part").agg(
-        F.min_by("event", "i").alias("event"), F.min_by("href", "i").alias("href"), F.max("first_kw").alias("first_kw"), F.min("pos").alias("begin"), F.max("pos").alias("end"),
-        *[at(end, c).alias(f"{c}_{end}") for end in ("min", "max") for c in ("before", "after")],
-    )
-    parts = parts.where("part > 0").withColumn("next", F.lead("event").over(Window.partitionBy("url").orderBy("part")))
-    closed = parts.where("event = 'open' and next = 'close'")
-    inside = F.col("after_min") <= F.col("end")
-    named = F.exists(F.array(*map(F.lit, low)), lambda k: F.contains(F.lower("href"), k)) if low else F.lit(False)
-    d = F.when(F.col("begin").isNull(), F.col("first_kw") + 1).otherwise(F.least(F.col("begin") - F.col("before_min"), F.col("after_min") - F.col("begin"), F.col("end") - F.col("before_max"), F.col("after_max") - F.col("end")))
-    weight = F.when(inside | named, 1.0).when(d <= FARTHEST, 1.0 / (d + 2)).otherwise(0.0) if topic_sensitive else F.lit(0.0)
-    out = heaviest(closed.select("url", "href", weight.alias("weight"), F.col("part").alias("seq")), "href", by=("url",))
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html")):
+                if rows := page_links(html.as_py(), low, topic_sensitive):
+                    hrefs, weights, seqs = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([url] * len(rows), pa.string()), pa.array(hrefs, pa.string()), pa.array(weights, pa.float64()), pa.array(seqs, pa.int64())], ["url", "href", "weight", "seq"])
+
+    out = pages.select("url", "html").mapInArrow(run, "url string, href string, weight double, seq long")
     return out.where(F.lower("href") != F.lower("url")) if drop_self else out

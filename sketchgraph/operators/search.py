@@ -1,7 +1,7 @@
 """Search by TF-IDF cosine and ordered nearness of terms, over a positional index.
 
-The index is four tables: postings by occurrence (doc, term, pos), counts (doc, term, tf), document frequencies and
-norms. All queries are scored in one job: their few terms are joined to the index, and a window over a document's
+The index is five tables, made as they are asked for: documents, postings by occurrence (doc, term, pos), counts (doc,
+term, tf), document frequencies and norms. All queries are scored in one job: their few terms are joined to the index, and a window over a document's
 hits finds the distances of neighbouring terms in one pass. Documents without a hit still score, as distances are
 capped; they get the score of no hit without being looked at term by term.
 """
@@ -9,15 +9,18 @@ capped; they get the score of no hit without being looked at term by term.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
 from ..functions.text import words
+from ..reports import log, timed
+
+TABLES = ("docs", "postings", "counts", "frequencies", "norms")
 
 # Fixed values of the scores.
 FARTHEST, NEARNESS, COSINE = 17, 0.6, 0.4
@@ -29,27 +32,64 @@ def query_terms(query: str) -> list[str]:
     return _WORD.findall(query.lower())
 
 
-@dataclass
 class PositionalIndex:
-    docs: DataFrame  # doc
-    postings: DataFrame  # doc, term, pos
-    counts: DataFrame  # doc, term, tf
-    frequencies: DataFrame  # term, df
-    norms: DataFrame  # doc, norm
-    n: int
+    """docs (doc), postings (doc, term, pos), counts (doc, term, tf), frequencies (term, df), norms (doc, norm) and n, the number of documents.
+
+    Each table is made when it is first asked for; counts and frequencies, which others are made from, are written then.
+    `save` writes all of them, and `open` takes them from there, so that searches share one index.
+    """
+
+    def __init__(self, rows: DataFrame | None = None, tables: dict[str, DataFrame] | None = None):
+        self._rows, self._tables = rows, tables or {}
 
     @classmethod
     def build(cls, corpus: DataFrame, doc_col: str = "doc", text_col: str = "text") -> PositionalIndex:
-        """The index of distinct documents; its tables are written to the shared folder."""
-        rows = corpus.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-        docs = written(rows.select("doc").distinct(), "docs")
-        postings = written(rows.select("doc", F.posexplode(words(F.col("text"))).alias("pos", "term")), "postings")
-        counts = written(postings.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
-        frequencies = written(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
-        n = docs.count()
-        weights = counts.join(frequencies, "term").select("doc", weight(n).alias("w"))
-        norms = written(weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("norm")), "norms")
-        return cls(docs, postings, counts, frequencies, norms, n)
+        """The index of distinct documents."""
+        return cls(corpus.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> PositionalIndex:
+        return cls(tables={name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+
+    def save(self, path: str) -> PositionalIndex:
+        """Writes all tables below path and gives the index that reads them."""
+        for name in TABLES:
+            _, seconds = timed(lambda name=name: getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}"))
+            log.info("Index: wrote %s in %.3f s", name, seconds)
+        return self.open(self.docs.sparkSession, path)
+
+    def _table(self, name: str, make, store: bool = False) -> DataFrame:
+        if name not in self._tables:
+            began = time.perf_counter()
+            self._tables[name] = written(make(), name) if store else make()
+            if store:
+                log.info("Index: made %s in %.3f s", name, time.perf_counter() - began)
+        return self._tables[name]
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._table("docs", lambda: self._rows.select("doc").distinct())
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._table("postings", lambda: self._rows.select("doc", F.posexplode(words(F.col("text"))).alias("pos", "term")))
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._table("counts", lambda: self.postings.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), store=True)
+
+    @property
+    def frequencies(self) -> DataFrame:
+        return self._table("frequencies", lambda: self.counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), store=True)
+
+    @property
+    def norms(self) -> DataFrame:
+        weights = lambda: self.counts.join(self.frequencies, "term").select("doc", weight(self.n).alias("w"))
+        return self._table("norms", lambda: weights().groupBy("doc").agg(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("norm")))
+
+    @cached_property
+    def n(self) -> int:
+        return self.docs.count()
 
     def term_frequency(self) -> DataFrame:
         return self.counts

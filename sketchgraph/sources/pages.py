@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 class Fetcher(Protocol):
     def fetch(self, urls: DataFrame) -> DataFrame:
-        """url and html of the rows of urls (column url); html is null where there is no such page."""
+        """url and html of the distinct urls (column url), a row each; html is null where there is no such page."""
 
 
 class TableFetcher:
-    """Pages of a table with url and html."""
+    """Pages of a table with url and html; of several rows of a url the least html counts."""
 
     def __init__(self, pages: DataFrame):
-        self.pages = pages.select("url", "html").dropDuplicates(["url"])
+        self.pages = pages.select("url", "html")
 
     def fetch(self, urls: DataFrame) -> DataFrame:
-        return urls.select("url").distinct().join(self.pages, "url", "left")
+        asked = urls.select("url").distinct()
+        found = self.pages.join(asked, "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
+        return asked.join(found, "url", "left")
 
 
 class ConstantFetcher:
@@ -30,4 +32,8 @@ class ConstantFetcher:
         self.html = html
 
     def fetch(self, urls: DataFrame) -> DataFrame:
-        return urls.select("url", F.lit(self.html).alias("html"))
+        return urls.select("url").distinct().select("url", F.lit(self.html).alias("html"))
+
+
+def fetcher_of(pages: DataFrame | Fetcher) -> Fetcher:
+    return TableFetcher(pages) if isinstance(pages, DataFrame) else pages
