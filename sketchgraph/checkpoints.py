@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own, which goes with the process, where that is unset."""
+    """spark.checkpoint.dir; where that is unset and all work is done on this machine, a folder of our own, which goes with the process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not path:
         folder = tempfile.mkdtemp(prefix="sketchgraph-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -76,3 +76,25 @@ def test_empty_documents(spark):
 def test_decoding(spark, tmp_path):
     (tmp_path / "d.txt").write_bytes("é".encode("latin-1"))
     assert tuple(text_files.documents(spark, str(tmp_path)).head()) == ("d.txt", "é")
+
+
+def test_saved_index(spark, index, tmp_path):
+    again = index.save(str(tmp_path / "index"))
+    queries = [*WANT]
+    assert sorted(map(tuple, again.scores(queries).collect())) == sorted(map(tuple, index.scores(queries).collect()))
+    opened = search.PositionalIndex.open(spark, str(tmp_path / "index"))
+    assert opened.n == index.n and opened.entries().count() == index.entries().count()
+
+
+def test_numbered_lines_of_splits(spark, tmp_path):
+    lines = ["" if i % 11 == 0 else f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = text_files.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert sorted((r["line_no"], r["line"]) for r in got.collect()) == sorted([(i + 1, x) for i, x in enumerate(lines) if x] * 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
