@@ -33,7 +33,7 @@ MAX_CELLS = 1 << 23
 PRIOR = 0.5
 #: Likelihood that a further language must bring: for each n-gram of the document, and by the logarithm of their number.
 PENALTY, LOG_PENALTY = 0.03, 4.0
-ROUNDS, SLICE = 12, 1 << 20
+ROUNDS, SLICE, PART = 12, 1 << 20, 1 << 19
 #: Score under which `known_only` rejects a document: no language explains it better than chance between several.
 LEAST = 0.2
 #: How far the log-likelihood of an n-gram may lie below what the chosen languages expect of their own texts: in all, and in standard errors.
@@ -67,6 +67,39 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([mix(pairs[ok]), mix(triples[ok3])]), np.concatenate([np.where(letters[1:], owner[1:], owner[:-1])[ok], owner[1:-1][ok3]])
 
 
+def parts(texts: list[str], most: int = PART) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Groups of parts of the texts, of about `most` characters, and the number of each one's text. Parts are cut at white space, over which no n-gram reaches (but for those that begin or end with it)."""
+    group, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        start, end = 0, len(text)
+        while start < end or not end:
+            stop = end
+            if end - start > most and (cut := max(text.rfind(" ", start + 1, start + most), text.rfind("\n", start + 1, start + most))) > 0:
+                stop = cut
+            if group and size + stop - start > most:
+                yield group, np.array(owner)
+                group, owner, size = [], [], 0
+            group.append(text[start:stop])
+            owner.append(i)
+            size += stop - start
+            start = stop
+            if not end:
+                break
+    if group:
+        yield group, np.array(owner)
+
+
+def counted(texts: list[str]) -> np.ndarray:
+    """The count of each n-gram of each text, flat: text << BITS | bucket."""
+    out = np.zeros(len(texts) << BITS, np.int64)
+    for group, owners in parts(texts):
+        buckets, owner = ngrams(group)
+        if len(buckets):
+            low, high = int(owners[0]), int(owners[-1]) + 1
+            out[low << BITS : high << BITS] += np.bincount((owners[owner] - low) << BITS | buckets, minlength=(high - low) << BITS)
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -81,10 +114,11 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 langs = np.array(part.column("lang").to_pylist(), object)
-                buckets, owner = ngrams(texts_of(part))
-                for lang in {*langs.tolist()}:
-                    mine = buckets[(langs == lang)[owner]] if len(owner) else buckets
-                    counts[lang] = counts.get(lang, 0) + np.bincount(mine, minlength=1 << BITS)
+                for group, owners in parts(texts_of(part)):
+                    buckets, owner = ngrams(group)
+                    for lang in {*langs[owners].tolist()}:
+                        mine = buckets[(langs[owners] == lang)[owner]] if len(owner) else buckets
+                        counts[lang] = counts.get(lang, 0) + np.bincount(mine, minlength=1 << BITS)
         for lang, n in counts.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "ngram": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
@@ -126,11 +160,10 @@ def predict_fits(model: Model, texts: list[str], ask: bool = True) -> tuple[list
     """As predict, and whether the chosen set explains the text about as well as texts of its own (False where it isn't asked for)."""
     k, size = len(model.languages), len(texts)
     names, scores, shares, fits = [UNKNOWN] * size, np.zeros(size), [{} for _ in texts], np.zeros(size, bool)
-    buckets, owner = ngrams(texts)
-    if not k or not len(buckets):
-        return names, scores, shares, fits
-    cells = np.bincount(owner << BITS | buckets, minlength=size << BITS)
+    cells = counted(texts) if k else np.zeros(0, np.int64)
     at = np.flatnonzero(cells)
+    if not len(at):
+        return names, scores, shares, fits
     n, log_p = cells[at].astype(np.float64), model.log_p[at & ((1 << BITS) - 1)].astype(np.float64)
     docs, starts, owner = np.unique(at >> BITS, return_index=True, return_inverse=True)
     top = log_p.max(1)

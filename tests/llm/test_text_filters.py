@@ -350,6 +350,90 @@ def test_languages(spark):
     assert (rows[rows.held_out].lang_pred == rows[rows.held_out].lang).mean() > 0.97
 
 
+def test_ngrams_of_parts():
+    r = random.Random(14)
+    texts = ["".join(r.choice("abcé ß日\n.1'") for _ in range(r.choice((0, 3, 50, 400)))) for _ in range(60)] + ["x" * 300, " " * 300, ""]
+    whole = langid.counted(texts)
+    buckets, owner = langid.ngrams(texts)
+    assert (whole == np.bincount(owner << langid.BITS | buckets, minlength=len(texts) << langid.BITS)).all()
+    for most in (1, 7, 64):
+        got = np.zeros_like(whole)
+        for group, owners in langid.parts(texts, most):
+            buckets, owner = langid.ngrams(group)
+            if len(buckets):
+                got += np.bincount(owners[owner] << langid.BITS | buckets, minlength=len(got))
+        assert (got == whole).all()
+
+
+def test_mixtures_by_definition():
+    """Expectation-maximisation, nested sets and their penalty, a text and an n-gram at a time."""
+    r = np.random.default_rng(15)
+    p = r.dirichlet(np.full(1 << langid.BITS, 0.01), 3).T + 1e-7
+    model = langid.Model(["a", "b", "c"], np.log(p / p.sum(0)).astype(np.float32))
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    texts = ["".join(r.choice(list(letters), int(n))) for n in r.integers(5, 400, 25)]
+    names, scores, shares = langid.predict(model, texts)
+    log_p = model.log_p.astype(float)
+    for text, name, score, share in zip(texts, names, scores, shares):
+        grams = langid.ngrams([text])[0].tolist()
+
+        def mixture(start):
+            now = start
+            for _ in range(langid.ROUNDS):
+                new = [0.0] * 3
+                for g in grams:
+                    like = [now[j] * np.exp(log_p[g, j]) for j in range(3)]
+                    for j in range(3):
+                        new[j] += like[j] / sum(like)
+                now = [x / len(grams) for x in new]
+            return now, sum(np.log(sum(now[j] * np.exp(log_p[g, j]) for j in range(3))) for g in grams)
+
+        single = [sum(log_p[g, j] for g in grams) for j in range(3)]
+        lead = int(np.argmax(single))
+        full, most = mixture([1 / 3] * 3)
+        order = sorted(range(3), key=lambda j: -(full[j] + 2 * (j == lead)))
+        penalty = langid.PENALTY * len(grams) + langid.LOG_PENALTY * np.log1p(len(grams))
+        best, value = [float(j == lead) for j in range(3)], single[lead]
+        if most - penalty > value:
+            for m in (2, 3):
+                found, like = mixture([1 / m if j in order[:m] else 0.0 for j in range(3)])
+                if like - (m - 1) * penalty <= value:
+                    break
+                best, value = found, like - (m - 1) * penalty
+        sure = 1 / sum(np.exp(max(-50, (x - max(single)) / np.sqrt(len(grams)))) for x in single)
+        assert name == model.languages[int(np.argmax(best))] and score == pytest.approx(max(best) * sure, rel=1e-5)
+        assert share == pytest.approx({model.languages[j]: best[j] for j in range(3) if best[j] > 0}, rel=1e-5)
+
+
+def test_statistics_by_definition():
+    """Each statistic again, a character or a word at a time."""
+    import math
+    import unicodedata
+    import zlib
+
+    r = random.Random(16)
+    texts = ["".join(r.choice(["word ", "Word. ", "BIG ", "x1 ", "don't ", "a|b{c} ", "\n", "é", "日本 ", "12 ", "\t", "!? ", "the the "]) for _ in range(r.randint(1, 80))) for _ in range(60)] + [" ", "x", "\n\n", "a" * 5000]
+    for text in texts:
+        got = dict(zip(quality.NAMES, quality.statistics(text)))
+        words, lines, n = text.split(), text.split("\n"), len(text)
+        share = lambda f, xs, of=None: sum(map(bool, map(f, xs))) / max(1, len(xs) if of is None else of)
+        category = lambda c: unicodedata.category(c)[0]
+        ascii_ = [c for c in text if ord(c) < 128]
+        sizes = [len(w) for w in words] or [0]
+        mean = sum(sizes) / len(sizes)
+        want = {
+            "log_chars": math.log1p(n), "log_words": math.log1p(len(words)), "mean_word": mean, "std_word": math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)), "longest_word": math.log1p(max(sizes)),
+            "letters": share(lambda c: category(c) == "L", text), "digits": share(lambda c: category(c) == "N", text), "white": share(str.isspace, text), "others": share(lambda c: category(c) not in "LN" and not c.isspace(), text),
+            "ascii_share": len(ascii_) / n, "capital_letters": sum(c.isupper() for c in ascii_) / max(1, sum(c.isalpha() for c in ascii_)), "capital_words": share(str.isupper, words),
+            "kinds_of_words": len({*words}) / max(1, len(words)), "top_word": max([words.count(w) for w in words], default=0) / max(1, len(words)), "repeated_neighbours": sum(words[i] == words[i - 1] for i in range(1, len(words))) / max(1, len(words)),
+            "line_count": math.log1p(len(lines)), "mean_line": n / len(lines), "kinds_of_lines": len({x for x in lines if x}) / max(1, sum(x != "" for x in lines)), "ended_lines": sum(x[-1:] != "" and x[-1] in '.!?:"' for x in lines) / len(lines),
+            "words_with_digits": share(lambda w: any(c.isdigit() for c in w), sorted({*words})), "stops": sum(text.count(c) for c in ".!?") / max(1, len(words)), "commas": text.count(",") / max(1, len(words)), "bars": sum(text.count(c) for c in "|{}<>\\") / max(1, len(words)),
+            "compressed": len(zlib.compress(text.encode(), 1)) / len(text.encode()), "entropy": -sum(x * math.log2(x) for x in (text.count(c) / n for c in {*ascii_})), "kinds_of_others": len({c for c in text if "!" <= c <= "/" or ":" <= c <= "@"}),
+        }
+        assert {k: got[k] for k in want} == pytest.approx(want), text
+        assert {*quality.NAMES} - {*want} == {"words_with_others"}
+
+
 def test_mixtures(spark):
     r = random.Random(5)
     say = lambda syllables, n: " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(n))
