@@ -13,6 +13,9 @@ from ..shipping import ship
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch, which stands in the JVM's and the worker's memory as a whole.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +42,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package at hand on the executors."""
+    """df.mapInArrow, with this package at hand on the executors, and batches of no more than BATCH_BYTES (a setting of the session) or one row."""
     ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 

@@ -33,7 +33,7 @@ MAX_CELLS = 1 << 23
 PRIOR = 0.5
 #: Likelihood that a further language must bring: for each n-gram of the document, and by the logarithm of their number.
 PENALTY, LOG_PENALTY = 0.03, 4.0
-ROUNDS, SLICE, PART = 12, 1 << 20, 1 << 19
+ROUNDS, SLICE, PART = 12, 1 << 20, 1 << 17
 #: Score under which `known_only` rejects a document: no language explains it better than chance between several.
 LEAST = 0.2
 #: How far the log-likelihood of an n-gram may lie below what the chosen languages expect of their own texts: in all, and in standard errors.
