@@ -88,14 +88,10 @@ tokens as (
     from words where len(w) > 0),
 firsts as (select t, min({'d': doc_id, 'l': line_no}) as first, max(doc_id) as last from tokens group by t),
 forms as (select t, first, last, list_transform(range(least(len(t), 16)), lambda i: array_to_string(t[i * len(t) // least(len(t), 16) + 1 : (i + 1) * len(t) // least(len(t), 16)], ' ')) as p from firsts),
-numbered as (select t, first, p, len(p) // 5 + 1 as m, unnest(range(len(p) // 5 + 1)) as i from forms where len(p) >= 5),
-runs as (select t, first, p, concat_ws(' ', len(t), i, array_to_string(t[1:3], ' '), '|', array_to_string(p[i * len(p) // m + 1 : (i + 1) * len(p) // m], ' ')) as run from numbered),
-founders as (select run, min(first) as keeper, arg_min(p, first) as q, max(first.d) as last from runs group by run having min(first).d <> max(first.d)),
-alike as (
-    select t, keeper from runs join founders using (run)
-    where first.d <> keeper.d and len(p) = len(q) and len(list_filter(list_zip(p, q), lambda x: x[1] <> x[2])) <= len(p) // 5),
-recurring as (select t, min(keeper).d as keeper from (select t, first as keeper from forms where first.d <> last union all select * from alike) group by t),
-drops as (select distinct doc_id, line_no from tokens join recurring using (t) where doc_id <> keeper),
+agreeing as (
+    select distinct f.t from forms f join forms g on len(f.t) = len(g.t) and f.t[1:3] = g.t[1:3]
+    where g.first.d < f.first.d and len(list_filter(list_zip(f.p, g.p), lambda x: x[1] <> x[2])) <= len(f.p) // 5),
+drops as (select doc_id, line_no from tokens join firsts using (t) where doc_id <> first.d or t in (from agreeing)),
 dropped as (select doc_id, list(line_no) as gone from drops group by doc_id)
 select doc_id,
     case when gone is null then text else array_to_string(list_filter(lines, lambda l, i: not list_contains(gone, i - 1)), chr(10)) end as text,

@@ -26,31 +26,16 @@ def brute_parts(form):
 
 
 def brute_dedup(docs):
-    """Every line is compared with the first line of each run of parts that it has."""
-    first, of, founder, keeper = {}, {}, {}, {}
+    """Every line is compared with every line of its leaf."""
+    first, of, leaf = {}, {}, {}
     for d, text in docs:
-        for i, line in enumerate((text or "").split("\n")):
+        for line in (text or "").split("\n"):
             if form := brute_form(line):
                 of.setdefault(form, set()).add(d)
-                first[form] = min(first.get(form, (d, i)), (d, i))
-
-    def runs(form):
-        p = brute_parts(form)
-        n = len(p) // 5 + 1
-        return [(len(form), form[:3], i, *p[len(p) * i // n : len(p) * (i + 1) // n]) for i in range(n)] if n > 1 else []
-
-    for form in first:
-        for run in runs(form):
-            founder[run] = min(founder.get(run, (first[form], form)), (first[form], form))
-    for form, own in of.items():
-        found = [first[form]] if len(own) > 1 else []
-        for run in runs(form):
-            at, other = founder[run]
-            if at[0] != first[form][0] and sum(a != b for a, b in zip(brute_parts(form), brute_parts(other))) <= len(brute_parts(form)) // 5:
-                found.append(at)
-        if found:
-            keeper[form] = min(found)[0]
-    gone = lambda d, line: keeper.get(brute_form(line), d) != d
+                leaf.setdefault((len(form), form[:3]), set()).add(form)
+                first[form] = min(first.get(form, d), d)
+    agrees = {f for forms in leaf.values() for f in forms for g in forms if first[g] < first[f] and sum(a != b for a, b in zip(brute_parts(f), brute_parts(g))) <= len(brute_parts(f)) // 5}
+    gone = lambda d, line: (f := brute_form(line)) and (f in agrees or first[f] != d)
     return {d: None if text is None else "\n".join(x for x in text.split("\n") if not gone(d, x)) for d, text in docs}
 
 
@@ -80,6 +65,24 @@ def test_line_dedup(spark):
     assert sum(shared[4] in (t or "") for t in got.values()) <= 1
 
 
+def test_lines_that_agree_with_no_founder(spark, monkeypatch):
+    """The first line of each run agrees with few of its lines; those that agree with each other are met, in runs of few and of many lines."""
+    base = "the page of a b c d e f".split(" ")
+    other = [*base[:6], "x", "y", "z"]  # one run of base and other is the same
+    docs = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join([*other[:8], "u"])), (4, " ".join([*other[:7], "v", "w"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: x["text"] for x in line_dedup.drop_recurring_lines(df).collect()} == {1: docs[0][1], 2: docs[1][1], 3: "", 4: docs[3][1]}
+    r = random.Random(8)
+    line = lambda n: " ".join(["the"] * 3 + [r.choice("abcd") for _ in range(n - 3)])
+    docs = [(i, "\n".join(line(r.choice((5, 6, 9, 10, 13, 14, 15, 16, 17, 24, 40))) for _ in range(6))) for i in range(400)]
+    docs += [(i, "\n".join(" ".join([*base[:3], *"same run here".split(), *(r.choice("abc") for _ in range(9))]) for _ in range(2))) for i in range(400, 480)]
+    want = brute_dedup(docs)
+    for most in (line_dedup.FEW, 2, 1 << 20):
+        monkeypatch.setattr(line_dedup, "FEW", most)
+        got = {x["doc_id"]: x["text"] for x in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == want
+
+
 def test_planted_templates(spark):
     """Lines of templates with names and numbers filled in go from all documents but one; lines that no other document has in any form stay."""
     r = random.Random(6)
