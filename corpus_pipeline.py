@@ -30,8 +30,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates: op5's links of SimHash fingerprints, and texts that two bits don't reach by exact similarity."""
+    return simhash.keep_one(docs, by_print=True)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

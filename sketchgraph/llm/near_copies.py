@@ -1,7 +1,7 @@
 """Texts whose sets of five-word shingles have a Jaccard similarity of `ALIKE` or more.
 
-A fingerprint of 64 bits is no key for this: at a similarity of 0.8 about ten bits differ, so an exact cut into segments
-would leave some four bits to each. Candidates are instead texts that share one of `BANDS` keys of `ROWS` minima each; a
+These links come beside those of SimHash fingerprints (see simhash.keep_one). A fingerprint of 64 bits is no key for them: at a
+similarity of 0.8 about ten bits differ, so an exact cut into segments would leave some four bits to each. Candidates are texts that share one of `BANDS` keys of `ROWS` minima each; a
 pair of similarity 0.8 has none in common with a probability of 1e-7. Each candidate is verified by its exact similarity.
 
 Equal sets are one node. Of a key that few nodes share all pairs are compared. Of the keys that many share, each node meets
@@ -80,19 +80,20 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return _mixed(out).view(np.int64)
 
 
-def nodes(df: DataFrame) -> DataFrame:
-    """id, fp (the node), n (shingles) and keys of each row of df (id, text)."""
+def nodes(df: DataFrame, print_of: Callable[[str], int]) -> DataFrame:
+    """id, fp (the node), n (shingles), keys and print (what print_of gives for the text) of each row of df (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(t) for t in texts_of(part)]
+                texts = texts_of(part)
+                sets = [shingles(t) for t in texts]
                 keys = [keys_of(s) if len(s) else [] for s in sets]
-                arrays = [part.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "n", "keys"])
+                arrays = [part.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([print_of(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "n", "keys", "print"])
 
     rows = df.select("id", "text")
-    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, n long, keys array<long>")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, n long, keys array<long>, print long")
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -113,10 +114,10 @@ def _may(a: Column, b: Column) -> Column:
     return F.when(a == b, (a - 1) * ALIKE[1] >= (a + 1) * ALIKE[0]).otherwise(less * ALIKE[1] >= more * ALIKE[0])
 
 
-def roots(prints: DataFrame, texts_at: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """node and root of each node that is alike to another, as components() gives them.
+def roots(prints: DataFrame, texts_at: Callable[[DataFrame], DataFrame], linked: DataFrame | None = None) -> DataFrame | None:
+    """node and root of each node that is alike to another or linked to one, as components() gives them.
 
-    prints: fp, n and keys of each node, once; texts_at: fp and text of each node of a table of them.
+    prints: fp, n and keys of each node, once; texts_at: fp and text of each node of a table of them; linked: nodes a and b of links known before.
     """
     keys = prints.select("fp", F.col("n").alias("size"), F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "size")).alias("first")).where("n > 1")
@@ -132,6 +133,8 @@ def roots(prints: DataFrame, texts_at: Callable[[DataFrame], DataFrame]) -> Data
     many = hot.where(meets).groupBy("fp").agg(F.min("first").alias("a")).select("a", F.col("fp").alias("b"))
     pairs = written(few.unionAll(many).distinct(), "pairs")
     edges = _alike(pairs, sets)
+    if linked is not None:
+        edges = edges.unionAll(linked)
     found = components(edges)
     if hot.isEmpty():
         return found

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from sketchgraph.llm import near_copies, simhash
 
 
@@ -62,3 +63,15 @@ def test_a_key_that_many_share(spark):
     rows = [*enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.keep_one(df).collect()) == brute_kept(rows)
+
+
+def test_links_of_fingerprints_count(spark):
+    """Texts of fingerprints at most two bits apart are near duplicates, though they have few of their shingles in common."""
+    base = " ".join(f"w{i}" for i in range(21))
+    say = lambda x: " ".join([base] * 200 + [f"{x}{i}" for i in range(30)])
+    rows = [(1, say("a")), (2, say("b")), (3, " ".join(f"o{i}" for i in range(200)))]
+    a, b = rows[0][1], rows[1][1]
+    assert (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= simhash.DISTANCE and not alike(brute(a), brute(b))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.near_duplicates(df).select("component_id").distinct().withColumnRenamed("component_id", "doc_id").collect()) == [1, 3]
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
