@@ -38,6 +38,8 @@ from .word_table import WordMemo
 
 MANIFEST = "shard int, path string, n_records long, n_ids long"
 HEAD, CRC, KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
+#: Tasks for each core that read records.
+TASKS = 4
 #: Words whose ids a worker keeps, with about 60 bytes each.
 MAX_WORDS = 1_200_000
 
@@ -158,7 +160,7 @@ def write_records(df: DataFrame, tokenizer_path: str, end_id: int | None = 0, id
 
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    return written(map_arrow(rows, run, MANIFEST), "manifest")
+    return written(map_arrow(rows, run, MANIFEST).repartition(1), "manifest")  # a row for each shard: one file, not one for each
 
 
 def read_records(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -186,5 +188,6 @@ def read_records(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     shards = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
-    shards = shards.repartition(max(1, manifest.count()))
+    # Some shards to a task, if there are more than the cores need: a task holds a part of one shard at a time.
+    shards = shards.repartition(max(1, min(manifest.count(), TASKS * manifest.sparkSession.sparkContext.defaultParallelism)))
     return map_arrow(shards, run, "id long, start long, ids binary").withColumnRenamed("id", id_col)

@@ -221,3 +221,25 @@ def test_encode_and_decode(spark, pieces):
     assert clash.columns == ["doc_id", "__text", "n_tokens"] and [list(r["n_tokens"]) for r in clash.orderBy("doc_id").collect()][2] == pieces.encode("same")
     back = sentencepiece_codec.decode(clash, PIECES, ids_col="n_tokens", text_col="__text")
     assert {r["__text"] for r in back.collect()} == {"", "same"} and {*back.columns} == {*clash.columns}
+
+
+def test_few_files_of_many_shards(spark, library):
+    """The manifest of many shards is one file, and more shards than TASKS for each core are read by so many tasks, in order."""
+    texts = [(i, f"text number {i} of all " * (i % 5)) for i in range(300)]
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = records.write_records(spark.createDataFrame(texts, "doc_id long, text string"), PATH)
+        out = records.read_records(manifest)
+        most = records.TASKS * spark.sparkContext.defaultParallelism
+        assert manifest.count() > most >= out.rdd.getNumPartitions() and len(manifest.inputFiles()) == 1
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    at = 0
+    for (i, _), own, (doc, start, ids) in zip(texts, library([t for _, t in texts]), got, strict=True):
+        want = np.array([*own, 0], "<u4")
+        assert (doc, start, ids) == (i, at, want.tobytes())
+        at += len(want)
