@@ -1,15 +1,20 @@
 """Bloom filters as tables of set bits.
 
 A filter is a table of bit places, so it has no size limit; a probe explodes its places and joins. Spark
-broadcasts the set bits while their size allows that and shuffles both sides beyond.
+broadcasts the set bits while their size allows that and shuffles both sides beyond. Filters of up to PACKED bits can be
+packed into bytes that all executors hold, which shuffles no probe.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,8 @@ from ..shipping import ship
 KINDS = ("fnv", "murmur", "ran")
 #: Share of false positives falls by this with each bit for an element.
 RATE = 0.618
+#: Bits of a filter that is handed out whole (32 MB), and of one of its pages.
+PACKED, PAGE = 1 << 28, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -76,6 +83,41 @@ def appears(probes: DataFrame, filter_bits: DataFrame, spec: BloomSpec, key_col:
     return met.groupBy(key_col).agg(F.every(F.coalesce("__set", F.lit(False))).alias(out_col))
 
 
+def packed(keys: DataFrame, spec: BloomSpec, key_col: str = "key") -> Callable[[Column], Column]:
+    """The filter after all keys, in bytes: gives the test of a key column. Null keys are an error, and don't appear. Each task packs its own keys' bits, so what moves is pages of bits."""
+    if spec.size > PACKED:
+        raise ValueError(f"a filter of {spec.size} bits isn't packed")
+    spark, size = keys.sparkSession, spec.size
+    ship(spark)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(-(-size // PAGE) * PAGE // 8, np.uint8)
+        for batch in batches:
+            at = batch.column("pos").flatten().to_numpy()
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        pages = bits.reshape(-1, PAGE // 8)
+        for i in np.flatnonzero(pages.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pages[i].tobytes()], pa.binary())], ["page", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in table.column("bits")])
+        return pa.table({"page": table.column("page")[:1].cast(pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    key = F.when(F.col(key_col).isNull(), F.raise_error(F.lit("null can't be added"))).otherwise(F.col(key_col))
+    pages = keys.select(spec.positions(key).alias("pos")).mapInArrow(pack, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary")
+    bits = np.zeros(-(-size // PAGE) * PAGE // 8, np.uint8)
+    for page, part in pages.collect():  # no more than the filter
+        bits[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(part, np.uint8)
+    held = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def holds(places: pd.Series) -> pd.Series:
+        at = np.concatenate([*places]).reshape(len(places), -1) if len(places) else np.zeros((0, 1), np.int64)
+        return pd.Series((held.value[at >> 3] >> (at & 7) & 1).all(axis=1))
+
+    return lambda key: F.when(key.isNotNull(), holds(spec.positions(F.coalesce(key, F.lit(""))))).otherwise(False)
+
+
 def metadata(keys: DataFrame, spec: BloomSpec) -> DataFrame:
     """data_size (keys added, repeats included), num_hashes and filter_size."""
     return keys.agg(F.count(F.lit(1)).alias("data_size")).withColumns({"num_hashes": F.lit(spec.hashes).cast("long"), "filter_size": F.lit(spec.size).cast("long")})

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BloomSpec, appears, build
+from .bloom import PACKED, BloomSpec, appears, build, packed
 
 #: Sizing of the filter over the differential's keys.
 FILTER = (12_000_000, 16)
+#: A filter has place for so many times its keys, if it is to let no other key through: with 16 bits each, one key in 10^23 gets through.
+SPARSE = 64
 
 
 def first_records(records: DataFrame, key_col: str = "phrase") -> DataFrame:
@@ -27,21 +29,30 @@ def lookup(keys: DataFrame, base: DataFrame, diff: DataFrame, key_col: str = "ke
 def lookup_with_filter(keys: DataFrame, base: DataFrame, diff: DataFrame, spec: BloomSpec | None = None, key_col: str = "key", record_key: str = "phrase") -> DataFrame:
     """As lookup, with probed: whether a Bloom filter over the differential's keys let the key through to it. The records are the same."""
     spec = spec or BloomSpec(*FILTER)
-    bits = build(diff.where(F.col(record_key).isNotNull()).select(F.col(record_key).alias("__k")), spec, "__k")
-    flags = appears(keys.select(F.lower(key_col).alias("__key")), bits, spec, "__key", "probed")
-    rows = keys.withColumn("__key", F.lower(key_col)).join(flags, "__key", "left").withColumn("probed", F.coalesce("probed", F.lit(False)))
-    through = rows.where("probed").select("__key").distinct()
-    return lookup(rows, base, first_rows(diff, through, record_key), key_col, record_key).select(*keys.columns, "record", "probed")
+    rows = _probed(keys, diff, spec, key_col, record_key, "probed")
+    found = _located(rows, base, diff, key_col, record_key, F.col("probed"))
+    return found.select(*keys.columns, F.coalesce("__diff", "__base").alias("record"), "probed")
 
 
-def first_rows(diff: DataFrame, through: DataFrame, record_key: str) -> DataFrame:
-    """The differential's rows whose key a filter let through."""
-    return diff.join(through, F.lower(diff[record_key]) == through["__key"], "left_semi")
+def sparse(diff: DataFrame, least: int, bits: int) -> BloomSpec:
+    """A filter for the keys of the differential that no other key gets through, of at least a size."""
+    return BloomSpec(max(least, SPARSE * diff.count()), bits)
 
 
-def _located(keys: DataFrame, base: DataFrame, diff: DataFrame, key_col: str, record_key: str) -> DataFrame:
+def _probed(keys: DataFrame, diff: DataFrame, spec: BloomSpec, key_col: str, record_key: str, out_col: str) -> DataFrame:
+    """keys and whether a filter over the differential's keys lets each through. Small filters are packed; others are tables that the keys are joined to."""
+    added = diff.where(F.col(record_key).isNotNull()).select(F.col(record_key).alias("__k"))
+    if spec.size <= PACKED:
+        return keys.withColumn(out_col, packed(added, spec, "__k")(F.col(key_col)))
+    flags = appears(keys.select(F.lower(key_col).alias("__low")), build(added, spec, "__k"), spec, "__low", out_col)
+    return keys.join(flags, F.lower(keys[key_col]) == F.col("__low"), "left").withColumn(out_col, F.coalesce(out_col, F.lit(False))).drop("__low")
+
+
+def _located(keys: DataFrame, base: DataFrame, diff: DataFrame, key_col: str, record_key: str, through: Column | None = None) -> DataFrame:
+    """keys with __diff and __base, their records. through: whether a key is looked up in the differential."""
     side = lambda rows, name: first_records(rows, record_key).select(F.col("__key").alias(f"{name}_key"), F.col("__record").alias(name))
-    rows = keys.join(side(diff, "__diff"), F.lower(keys[key_col]) == F.col("__diff_key"), "left")
+    same = F.lower(keys[key_col]) == F.col("__diff_key")
+    rows = keys.join(side(diff, "__diff"), same if through is None else same & through, "left")
     return rows.join(side(base, "__base"), F.lower(keys[key_col]) == F.col("__base_key"), "left")
 
 
@@ -63,10 +74,8 @@ def access_counts(keys: DataFrame, base: DataFrame, diff: DataFrame, spec: Bloom
 
     out = counted(found, "naive", F.lit(True), F.lit(0), F.lit(0))
     if spec is not None:
-        bits = build(diff.where(F.col(record_key).isNotNull()).select(F.col(record_key).alias("__k")), spec, "__k")
-        flags = appears(keys.select(F.lower(key_col).alias("__key")), bits, spec, "__key", "__probed")
-        probed = found.join(flags, F.lower(F.col(key_col)) == F.col("__key"), "left")
-        out = out.unionAll(counted(probed, "bloom", F.coalesce("__probed", F.lit(False)), F.lit(1), F.col("diff_lines")))
+        probed = _probed(found, diff, spec, key_col, record_key, "__probed")
+        out = out.unionAll(counted(probed, "bloom", F.col("__probed"), F.lit(1), F.col("diff_lines")))
     return out
 
 

@@ -44,3 +44,22 @@ def test_made_up_lines(spark, tmp_path):
     path = tmp_path / "lines.txt"
     path.write_bytes(b"one\r\ntwo\n\nthree")
     assert [tuple(r) for r in text_files.numbered_lines(spark, str(path)).orderBy("line_no").collect()] == [(1, "one"), (2, "two"), (4, "three")]
+
+
+def test_sparse_filter_lets_no_other_key_through(spark):
+    """200 keys of the differential fill a filter for 50 of them; one sized by the differential holds all other keys back."""
+    rows = lambda n, low: spark.range(low, low + n).select(F.col("id").alias("line_no"), F.concat(F.lit("k "), "id").alias("phrase"))
+    base, diff, keys = rows(3000, 0), rows(200, 3000), rows(3000, 0).select(F.col("phrase").alias("key"))
+    accesses = lambda spec: {r["method"]: r["accesses"] for r in overlay.access_counts(keys, base, diff, spec).collect()}["bloom"]
+    assert accesses(bloom.BloomSpec(50, 16)) > 3001
+    assert accesses(overlay.sparse(diff, 50, 16)) == 3001 and overlay.sparse(diff, 50_000, 16).set_size == 50_000
+
+
+def test_packed_filter(spark):
+    keys = spark.range(500).select(F.concat(F.lit("Key "), "id").alias("key"))
+    probes = keys.unionAll(spark.createDataFrame([("none",), (None,)], "key string"))
+    for kind in bloom.KINDS:
+        spec = bloom.BloomSpec(70_000, 16, kind)
+        want = {r["key"]: r["appears"] for r in bloom.appears(probes, bloom.build(keys, spec), spec).collect()}
+        got = probes.select("key", bloom.packed(keys, spec)(F.col("key")).alias("appears")).collect()
+        assert {r["key"]: r["appears"] for r in got} == want | {None: False} and not want["none"]
