@@ -1,8 +1,8 @@
 """Search by TF-IDF cosine and ordered nearness of terms, over a positional index.
 
 The index is five tables, made as they are asked for: documents, postings by occurrence (doc, term, pos), counts (doc,
-term, tf), document frequencies and norms. All queries are scored in one job: their few terms are joined to the index, and a window over a document's
-hits finds the distances of neighbouring terms in one pass. Documents without a hit still score, as distances are
+term, tf), document frequencies and norms. All queries are scored in one job: the positions of their few terms are put side by side for
+each document, and one search in them finds the distances of neighbouring terms. Documents without a hit still score, as distances are
 capped; they get the score of no hit without being looked at term by term.
 """
 
@@ -13,12 +13,17 @@ import time
 from collections.abc import Sequence
 from functools import cached_property, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoints import written
 from ..functions.text import words
 from ..reports import log, timed
+from ..shipping import ship
+from .terms import counted, placed
 
 TABLES = ("docs", "postings", "counts", "frequencies", "norms")
 
@@ -76,7 +81,14 @@ class PositionalIndex:
 
     @property
     def counts(self) -> DataFrame:
-        return self._table("counts", lambda: self.postings.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), store=True)
+        return self._table("counts", lambda: counted(self._rows, words(F.col("text"))), store=True)
+
+    def _places(self, only: Sequence[str] | None = None) -> DataFrame:
+        """doc, term and at (its positions, ascending); only: of these terms alone."""
+        if self._rows is not None:
+            return placed(self._rows, words(F.col("text")), only=only)
+        rows = self.postings if only is None else self.postings.where(F.col("term").isin(*only))
+        return rows.groupBy("doc", "term").agg(F.array_sort(F.collect_list("pos")).alias("at"))
 
     @property
     def frequencies(self) -> DataFrame:
@@ -100,9 +112,8 @@ class PositionalIndex:
 
     def entries(self) -> DataFrame:
         """term, doc and entry: `<doc:p1,p2>` with positions ascending. The whole index, a row for each document of a term."""
-        each = self.postings.groupBy("term", "doc").agg(F.array_sort(F.collect_list("pos")).alias("at"))
         entry = F.concat(F.lit("<"), F.col("doc").cast("string"), F.lit(":"), F.array_join(F.transform("at", lambda p: p.cast("string")), ","), F.lit(">"))
-        return each.select("term", "doc", entry.alias("entry"))
+        return self._places().select("term", "doc", entry.alias("entry"))
 
     def postings_lists(self, terms: Sequence[str]) -> DataFrame:
         """term and list: `[<doc:p1,p2>,<doc2:...>]` of a few terms, documents ascending. A row holds all documents of its term: a printed form, for terms that are not in most documents."""
@@ -117,12 +128,14 @@ class PositionalIndex:
         distinct = [[*dict.fromkeys(t)] for t in terms]
         spark = self.docs.sparkSession
         wanted = spark.createDataFrame([(i, k, t, terms[i].count(t), len(d)) for i, d in enumerate(distinct) for k, t in enumerate(d)], "query int, place int, term string, qtf int, size int")
-        longest = max(map(len, distinct))
-        hits = self.postings.join(F.broadcast(wanted), "term").groupBy("query", "doc", "place", "term", "pos", "size").agg(F.first("qtf").alias("qtf"))
-        later = Window.partitionBy("query", "doc").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-        after = [F.first(F.when(F.col("place") == k + 1, F.col("pos")), True).over(later) for k in range(longest - 1)]
-        gap = reduce(lambda out, k: F.when(F.col("place") == k, after[k] - F.col("pos")).otherwise(out), range(longest - 1), F.lit(None).cast("int"))
-        by_term = hits.withColumn("gap", gap).groupBy("query", "doc", "place", "term", "size", "qtf").agg(F.min("gap").alias("gap"), F.count(F.lit(1)).alias("tf"))
+        ship(spark)
+        at = lambda t: F.col("places")[t]
+        found = self._places(sorted({t for d in distinct for t in d})).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("places"))
+        pairs = {(a, b): f"gap{i}" for i, (a, b) in enumerate(dict.fromkeys(p for d in distinct for p in zip(d, d[1:])))}
+        found = found.withColumns({c: first_gap(at(a), at(b)) for (a, b), c in pairs.items()})
+        gap = lambda d, k: F.col(pairs[d[k], d[k + 1]]) if k + 1 < len(d) else F.lit(None).cast("int")
+        each = [F.struct(F.lit(i).alias("query"), F.lit(k).alias("place"), F.lit(t).alias("term"), F.lit(len(d)).alias("size"), F.lit(terms[i].count(t)).alias("qtf"), gap(d, k).alias("gap"), F.size(at(t)).alias("tf")) for i, d in enumerate(distinct) for k, t in enumerate(d)]
+        by_term = found.select("doc", F.explode(F.array(*each)).alias("e")).select("doc", "e.*").where("tf > 0")
         idf = self.frequencies.join(F.broadcast(wanted.select("term").distinct()), "term")
         by_term = by_term.join(F.broadcast(idf), "term")  # a row for each term of the queries
         w, q = weight(self.n).cast("double"), weight(self.n, "qtf").cast("double")
@@ -151,6 +164,19 @@ def weight(n: int, tf: str = "tf") -> Column:
     return (F.sqrt(F.col(tf)) * F.log10(F.lit(float(n)) / F.col("df"))).cast("float")
 
 
+@F.pandas_udf(T.IntegerType())
+def first_gap(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Of two arrays of positions, ascending: the smallest step from one of the first to a later one of the second; null without such."""
+    out = []
+    for a, b in zip(first, second):
+        steps = ()
+        if a is not None and b is not None:
+            later = np.searchsorted(b, a, side="right")
+            steps = b[later[later < len(b)]] - a[later < len(b)]
+        out.append(int(np.min(steps)) if len(steps) else None)
+    return pd.Series(out, dtype="Int32")
+
+
 def ordered_distance(first: Column, second: Column) -> Column:
     """Of two arrays of positions: the smallest step from one of the first to a later one of the second, at most FARTHEST."""
     steps = F.flatten(F.transform(first, lambda a: F.transform(F.filter(second, lambda b: b > a), lambda b: b - a)))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sketchgraph import reports
-from sketchgraph.operators import search
+from sketchgraph.operators import minhash, search
 from sketchgraph.sources import text_files
 
 TEXTS = {
@@ -98,3 +98,31 @@ def test_numbered_lines_of_splits(spark, tmp_path):
         assert sorted((r["line_no"], r["line"]) for r in got.collect()) == sorted([(i + 1, x) for i, x in enumerate(lines) if x] * 2)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().toString().count("Exchange ")
+
+
+def test_terms_are_counted_where_documents_lie(spark):
+    """Counts, entries and their texts need no shuffle; rows of one id count as one document."""
+    texts = [(1, "one two one"), (2, None), (3, "two ünïcode 𝄞𝄞𝄞 two"), (None, "null null one")]
+    docs, again = (spark.createDataFrame(t, "doc int, text string") for t in (texts, [*texts, (1, "two one"), (None, "one")]))
+    assert not shuffles(minhash.term_frequencies(docs)) and not shuffles(search.PositionalIndex.build(docs).entries())
+    counts = lambda df: {(r["doc"], r["term"]): r["tf"] for r in minhash.term_frequencies(df).collect()}
+    once = {(1, "one"): 2, (1, "two"): 1, (3, "two"): 2, (3, "ünïcode"): 1, (3, "𝄞𝄞𝄞"): 1, (None, "null"): 2, (None, "one"): 1}
+    assert counts(docs) == once and counts(again) == once | {(1, "one"): 3, (1, "two"): 2, (None, "one"): 2}
+    entries = {(r["doc"], r["term"]): r["entry"] for r in search.PositionalIndex.build(again).entries().collect()}
+    assert entries[1, "one"] == "<1:0,1,2>" and entries[1, "two"] == "<1:0,1>" and entries[3, "two"] == "<3:0,2>"
+    assert tuple(minhash.corpus_counts(again, minhash.term_frequencies(again)).head()) == (3, 5, 13)
+
+
+def test_gaps(spark):
+    df = spark.createDataFrame([([1, 10, 41], [3, 40]), ([5], [5]), (None, [1]), ([7], [1, 2, 9])], "a array<int>, b array<int>")
+    assert [r[0] for r in df.select(search.first_gap("a", "b")).collect()] == [2, None, None, 2]
+
+
+def test_java_hashes():
+    from sketchgraph.functions.hashing import java_hashes
+
+    assert java_hashes(["", "a", "hello", "ü", "𝄞", "polygenelubricants"]).tolist() == [0, 97, 99162322, 252, 1772394, -(1 << 31)]
