@@ -95,3 +95,32 @@ def test_edge_lists(spark, tmp_path):
     text_files.write_edge_list(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), 3, out)
     n, back = text_files.edge_list(spark, out)
     assert n == 3 and {tuple(r) for r in back.collect()} == {("a", "b"), ("b", "c")}
+
+
+def test_edge_lists_are_sorted_by_all(spark, tmp_path):
+    """One file in order, without a task that holds all rows (a window over all of them before)."""
+    rows = [(f"v{i * 7919 % 1000}", f"w{i % 13}") for i in range(1000)]
+    out = str(tmp_path / "graph")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("edge lists", "")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text_files.write_edge_list(spark.createDataFrame(rows, "src string, dst string").repartition(8), 1013, out)
+        stages = {s for j in tracker.getJobIdsForGroup("edge lists") for s in tracker.getJobInfo(j).stageIds}
+        tasks = [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [p for p in (tmp_path / "graph").iterdir() if p.name.endswith(".txt")]
+    assert len(files) == 1 and files[0].read_text().splitlines() == ["1013", *(f"{a} {b}" for a, b in sorted(rows))]
+    assert min(tasks) > 1
+    with pytest.raises(Exception):
+        text_files.write_edge_list(spark.createDataFrame(rows, "src string, dst string"), 1013, out)
+    text_files.write_edge_list(spark.createDataFrame([], "src string, dst string"), 0, str(tmp_path / "none"))
+    assert text_files.edge_list(spark, str(tmp_path / "none"))[1].isEmpty()
+
+
+def test_lines_are_numbered_without_a_shuffle_of_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\ntwo\n")
+    plan = text_files.numbered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
