@@ -24,7 +24,10 @@ def vertices(edges: DataFrame, extra: DataFrame | None = None) -> DataFrame:
 
 def degrees(edges: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """id, out_degree and in_degree by distinct neighbours, 0 included, in one aggregation."""
-    once = clean(edges)
+    return _degrees_of_distinct(clean(edges), extra)
+
+
+def _degrees_of_distinct(once: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     ends = once.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
     if extra is not None:
         ends = ends.unionAll(extra.select("id", F.lit(0), F.lit(0)))
@@ -49,7 +52,7 @@ def page_rank(edges: DataFrame, approximation: float = 0.01, damping: float = 0.
 def page_ranks(edges: DataFrame, approximations: Sequence[float], damping: float = 0.85, iterations: int | None = None, extra: DataFrame | None = None, normalize: bool = False) -> dict[float, DataFrame]:
     """page_rank for several approximations, in one run that hands out its ranks as it reaches each."""
     once = written(clean(edges), "edges")
-    state = written(degrees(once, extra).select("*", F.lit(1.0).alias("rank"), F.lit(0.0).alias("before")), "ranks")
+    state = written(_degrees_of_distinct(once, extra).select("*", F.lit(1.0).alias("rank"), F.lit(0.0).alias("before")), "ranks")
 
     def sums(of: DataFrame) -> tuple[int, float, float, float]:
         """Vertices, total rank, rank of vertices without outgoing edges, change: in one job."""

@@ -18,11 +18,10 @@ DAMPING, APPROXIMATIONS, TOP, DIGITS = 0.85, (0.01, 0.005, 0.001), 20, 8
 
 def rankings(edges: DataFrame, k: int = TOP, approximations: Sequence[float] = APPROXIMATIONS, extra: DataFrame | None = None, damping: float = DAMPING) -> DataFrame:
     """list (A by out-degree, B by in-degree, C and on by PageRank for each approximation), place and id."""
-    edges = written(graph.clean(edges), "edges")
-    degrees = graph.degrees(edges, extra)
-    tops = [graph.top_k(degrees, "out_degree", k), graph.top_k(degrees, "in_degree", k)]
-    by = ["out_degree", "in_degree"]
+    tops, by = [], ["out_degree", "in_degree"]
     for ranks in graph.page_ranks(edges, approximations, damping, extra=extra).values():
+        if not tops:  # ranks come with the degrees of all vertices
+            tops = [graph.top_k(ranks, "out_degree", k), graph.top_k(ranks, "in_degree", k)]
         # Sums of another order differ in the last digits; equal ranks are ties by id.
         tops.append(graph.top_k(ranks.withColumn("rank", F.round("rank", DIGITS)), "rank", k))
         by.append("rank")

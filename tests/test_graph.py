@@ -124,3 +124,28 @@ def test_lines_are_numbered_without_a_shuffle_of_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo\n")
     plan = text_files.numbered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_page_rank_by_definition(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [*{(r.randrange(12), 100 + r.randrange(400)) for _ in range(3000)}, *((100 + i, i % 5) for i in range(0, 400, 3))]
+    ids = sorted({x for e in rows for x in e})
+    outs = {i: [b for a, b in rows if a == i] for i in ids}
+    want = {i: 1.0 for i in ids}
+    for _ in range(3):
+        dangling, total = sum(want[i] for i in ids if not outs[i]), sum(want.values())
+        new = {i: 0.85 * dangling / len(ids) + 0.15 * total / len(ids) for i in ids}
+        for i in ids:
+            for b in outs[i]:
+                new[b] += 0.85 * want[i] / len(outs[i])
+        want = new
+    got = {r["id"]: r["rank"] for r in graph.page_rank(edges(spark, rows), iterations=3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in ids)
+
+
+def test_distinct_edges_are_not_made_distinct_again(spark):
+    """One exchange, that of the sums by vertex."""
+    plan = graph._degrees_of_distinct(edges(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and graph._degrees_of_distinct(edges(spark)).count() == 5
